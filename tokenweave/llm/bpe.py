@@ -5,17 +5,33 @@ has a non-space character on both sides, and what it does on either side of such
 a space does not depend on the other side.  So a text is cut there, every
 distinct cut piece is encoded once per worker by the library, and the ids are
 joined.  A text in which a space touches other white space is encoded whole.
+
+A piece of Latin letters is one pre-token for sure, as is a full stop or comma
+after it; those go straight to the library's BPE model.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import cache
 
 import numpy as np
 
 #: Distinct pieces remembered by a worker; about 200 bytes each.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_000_000
+
+
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable
+    bytes for themselves, the others in order from U+0100."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class BpeEncoder:
@@ -25,10 +41,14 @@ class BpeEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # A second copy that knows its special tokens: one of them marks the ends of pieces in a joint call.
         self.joint = Tokenizer.from_file(path)
         self.mark, self.mark_id = next(((t.content, i) for i, t in sorted(self.joint.get_added_tokens_decoder().items()) if t.special), (None, None))
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._stops = {x: self._raw([x])[0] for x in ".,"}
+        self._alphabet = _byte_alphabet()
         self._inner: dict[str, bytes | None] = {}
         self._first: dict[str, bytes] = {}
 
@@ -50,16 +70,27 @@ class BpeEncoder:
             out += [raw[x:y] for x, y in zip([0, *(c + width for c in cut)], [*cut, len(raw)], strict=True)]
         return out
 
+    def _word(self, piece: str) -> bytes:
+        """A space and a piece of letters: one pre-token."""
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._alphabet)
+        return array(self._code, [t.id for t in self.model.tokenize(self._alphabet[32] + mapped)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``dtype`` wide."""
         if len(self._inner) + len(self._first) > CACHE_PIECES:
             self._inner, self._first = {}, {}
         inner, split = self._inner, [t.split(" ") for t in texts]
-        new = set().union(*split)
-        new.difference_update(inner)
+        new = [x for x in set().union(*split) if x not in inner]
         fine = []
         for piece in new:
-            if piece and not piece[0].isspace() and not piece[-1].isspace():
+            if _LETTERS(piece):
+                if piece not in inner:
+                    inner[piece] = self._word(piece)
+            elif piece[-1:] in self._stops and _LETTERS(word := piece[:-1]):
+                if word not in inner:
+                    inner[word] = self._word(word)
+                inner[piece] = inner[word] + self._stops[piece[-1]]
+            elif piece and not piece[0].isspace() and not piece[-1].isspace():
                 fine.append(piece)
             else:
                 inner[piece] = None
