@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, quality_rules, sentencepieces, sharding, token_counts, token_files
+from . import decontamination, html_text, jaccard_join, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, token_files
 from .store import fresh_path
 
 BPE = "byte_bpe_50k.json"
@@ -24,12 +24,20 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read(spark)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_words(table(spark, sf_dir, "documents"), window=20)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -38,6 +46,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
     return token_counts.context_table(token_counts.length_histogram(lengths))
@@ -48,7 +60,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op4_quality_rules, op6_html_text, op7_sharding, op9_token_counts, op10_sentencepiece)
+    f.__name__: f for f in (op1_token_files, op2_substring_dedup, op4_quality_rules, op5_decontamination, op6_html_text, op7_sharding, op8_jaccard_join, op9_token_counts, op10_sentencepiece)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') AS q FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY q ORDER BY doc_id, s) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r),
+k AS (SELECT d.doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d) d ANTI JOIN c ON c.doc_id = d.doc_id AND c.p = d.i),
+t AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+""",
+}
