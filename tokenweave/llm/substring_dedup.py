@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .fm_index import FMIndex
 from .store import saved
-from .textops import chunks, full_windows, signed, window_hashes, words
+from .textops import chunks, full_windows, signed, span_sequence_hashes, window_hashes, words
 
 ANCHOR = 8
 #: Symbols indexed together; a shard is cut at the next anchor beyond.
@@ -106,10 +106,8 @@ def _scan_segments(window: int) -> Callable:
                 row, value, first, last = row[keep], value[keep], first[keep], last[keep]
                 size = last - first + window
                 begin = w.first[row] + first
-                content = np.zeros(len(row), np.uint64)
+                content = span_sequence_hashes(w.hash, begin, size)
                 bodies: list[bytes | None] = []
-                for k, (x, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
-                    content[k] = window_hashes(w.hash[x : x + n], n)[0]
                 for k, (a, c) in enumerate(zip(value.tolist(), content.tolist(), strict=True)):
                     if (a, c) in sent:
                         bodies.append(None)
@@ -141,78 +139,98 @@ def _repeats(index: FMIndex, doc: np.ndarray, start: np.ndarray, window: int) ->
 
 
 class _Shard:
+    """Distinct segments to be indexed together, and the texts they stand in first."""
+
     def __init__(self, window: int):
         self.window = window
-        self.bodies: list[np.ndarray] = []
-        self.rows: list[tuple[int, int, int]] = []
+        self.bodies: list[bytes] = []
+        self.rows: list[np.ndarray] = []  # doc, digest, start
+        self.more: list[tuple[int, int]] = []  # (segment, digest): other texts under one doc_id
         self.symbols = 0
 
-    def add(self, body: bytes, doc: int, digests: list[int], start: int) -> None:
-        values = np.frombuffer(body, np.uint64)
-        self.bodies.append(values)
-        self.rows.append((doc, start, digests))
-        self.symbols += len(values)
+    def add(self, bodies: list[bytes], rows: np.ndarray) -> None:
+        self.bodies += bodies
+        self.rows.append(rows)
+        self.symbols += sum(map(len, bodies)) // 8
 
-    def spans(self) -> Iterator[tuple[int, int, int, int]]:
-        """(doc, digest, from, to) of the repeated words of the shard's originals."""
+    def spans(self) -> np.ndarray:
+        """doc, digest, first, last of the repeated words of the segments."""
         if not self.bodies:
-            return
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in self.bodies])])
-        index = FMIndex(np.concatenate(self.bodies), bounds, self.window)
-        doc, start = (np.array([r[k] for r in self.rows], np.int64) for k in (0, 1))
-        found = np.sort(_repeats(index, doc, start, self.window))
+            return np.zeros((0, 4), np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(x) // 8 for x in self.bodies])])
+        index = FMIndex(np.frombuffer(b"".join(self.bodies), np.uint64), bounds, self.window)
+        rows = np.concatenate(self.rows)
+        found = np.sort(_repeats(index, rows[:, 0], rows[:, 2], self.window))
         if not len(found):
-            return
+            return np.zeros((0, 4), np.int64)
         cut = np.concatenate([[True], found[1:] > found[:-1] + 1])
         first, last = found[cut], found[np.concatenate([cut[1:], [True]])]
         part = np.searchsorted(index.begin, first, side="right") - 1
-        for p, a, b in zip(part.tolist(), first.tolist(), last.tolist(), strict=True):
-            shift = self.rows[p][1] - int(index.begin[p])
-            for digest in self.rows[p][2]:
-                yield self.rows[p][0], digest, a + shift, b + shift + self.window
+        shift = rows[part, 2] - index.begin[part]
+        out = np.stack([rows[part, 0], rows[part, 1], first + shift, last + shift + self.window], axis=1)
+        if self.more:
+            extra = [np.concatenate([out[k, :1], [digest], out[k, 2:]]) for segment, digest in self.more for k in np.flatnonzero(part == segment)]
+            out = np.concatenate([out, *(x[None] for x in extra)])
+        return out
 
 
-def _spans_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    doc, digest, first, last = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(digest), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc", "digest", "first", "last"])
+def _spans_batch(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], names=["doc", "digest", "first", "last"])
 
 
 def _search_shards(window: int) -> Callable:
-    """Rows come sorted by anchor, content, doc and start."""
+    """Rows come sorted by anchor, content, doc and start.  The first row of a run
+    of one content is its original; the others repeat it as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, out = _Shard(window), []
-        head: tuple[int, int, int, int] | None = None  # anchor, content, doc and start of the group's original
-        digests: list[int] = []
+        shard = _Shard(window)
+        head: np.ndarray | None = None  # the open run's original: anchor, content, doc, digest, start
         body: bytes | None = None
 
-        def close() -> None:
-            if head is not None:
-                shard.add(body, head[2], digests, head[3])
-
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            for anchor, content, doc, digest, start, size, own in zip(*columns, strict=True):
-                if head is not None and (anchor, content) == head[:2]:
-                    body = body or own
-                    if (doc, start) == head[2:]:
-                        if digest not in digests:
-                            digests.append(digest)
-                    else:
-                        out.append((doc, digest, start, start + size))
-                    continue
-                close()
-                if head is not None and anchor != head[0] and shard.symbols >= SHARD_SYMBOLS:
-                    out += shard.spans()
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], axis=1)
+            valid = np.flatnonzero(batch.column(6).is_valid().to_numpy(zero_copy_only=False))
+            same = np.zeros(len(rows), bool)
+            same[1:] = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
+            same[0] = head is not None and bool((rows[0, :2] == head[:2]).all())
+            start = np.flatnonzero(~same)
+            run_of = np.cumsum(~same) - 1  # -1: the run left open by the batch before
+            originals = rows[start][:, [0, 1, 2, 3, 4]]
+            if head is not None:
+                originals, run_of = np.concatenate([head[None], originals]), run_of + 1
+            # Bodies: the first one carried by any row of a run.
+            bodies: list[bytes | None] = [None] * len(originals)
+            if head is not None:
+                bodies[0] = body
+            owners = run_of[valid]
+            fresh = np.concatenate([[True], owners[1:] != owners[:-1]]) if len(owners) else np.zeros(0, bool)
+            for k, value in zip(owners[fresh].tolist(), batch.column(6).take(pa.array(valid[fresh])).to_pylist(), strict=True):
+                bodies[k] = bodies[k] or value
+            own = originals[run_of]
+            later = same & ((rows[:, 2] != own[:, 2]) | (rows[:, 4] != own[:, 4]))
+            twin = same & ~later & (rows[:, 3] != own[:, 3])
+            if later.any():
+                yield _spans_batch(np.stack([rows[later, 2], rows[later, 3], rows[later, 4], rows[later, 4] + rows[later, 5]], axis=1))
+            # All runs but the last are complete; a shard may be cut where the anchor changes.
+            done = len(originals) - 1
+            begin = 0
+            base = len(shard.bodies)
+            for k in np.flatnonzero(twin).tolist():
+                shard.more.append((base + int(run_of[k]), int(rows[k, 3])))
+            cuts = np.flatnonzero(originals[1:, 0] != originals[:-1, 0]) + 1
+            for cut in [*cuts[cuts <= done].tolist(), done]:
+                if cut == done or shard.symbols + 8 * (cut - begin) >= SHARD_SYMBOLS:
+                    shard.add(bodies[begin:cut], originals[begin:cut][:, [2, 3, 4]])
+                    begin = cut
+                if shard.symbols >= SHARD_SYMBOLS and originals[cut, 0] != originals[cut - 1, 0] and not shard.more:
+                    yield _spans_batch(shard.spans())
                     shard = _Shard(window)
-                head, body, digests = (anchor, content, doc, start), own, [digest]
-            if len(out) > 20_000:
-                yield _spans_batch(out)
-                out = []
-        close()
-        out += shard.spans()
-        if out:
-            yield _spans_batch(out)
+            head, body = originals[-1], bodies[-1]
+        if head is not None:
+            shard.add([body], head[None, [2, 3, 4]])
+        yield _spans_batch(shard.spans())
 
     return run
 

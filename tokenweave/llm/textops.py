@@ -174,6 +174,14 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix64((prefix[size:] - prefix[:-size]) * power[1][:n])
 
 
+def span_sequence_hashes(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences ``hashes[f : f + n]``; equal sequences have equal hashes."""
+    power = _powers(len(hashes) + 1)
+    prefix = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[0][: len(hashes)], out=prefix[1:])
+    return mix64((prefix[first + size] - prefix[first]) * power[1][first] + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 _power_table: tuple[np.ndarray, np.ndarray] | None = None
 
 
