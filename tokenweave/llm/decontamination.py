@@ -23,7 +23,7 @@ repeated pairs; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,46 +158,71 @@ class BenchmarkIndex:
 SCHEMA = "start long, n_words long, distance long, similarity double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 24, block_bytes: int = 8_000_000) -> DataFrame:
-    """doc_id, item_id, start, n_words, distance, similarity: for each document
-    and item with a window at or above the threshold, the best such window."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcast (item ids, texts) of bounded blocks of the benchmark."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-int(total) // (block_bytes // 2)))
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast((pa.array([r["item_id"] for r in rows]), pa.array([r["text"] for r in rows], pa.string())))
+        yield spark.sparkContext.broadcast((pa.array([r["item_id"] for r in rows]), pa.array([r["text"] for r in rows], pa.string())))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 24, block_bytes: int = 8_000_000) -> DataFrame:
+    """doc_id, item_id, start, n_words, distance, similarity: for each document
+    and item with a window at or above the threshold, the best such window."""
+    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    out = None
+    for shared in _indexes(benchmark, block_bytes):
         found = docs.select("doc_id", "text").mapInArrow(_matcher(shared, shingle, threshold, radius), f"doc_id {kinds[0]}, item_id {kinds[1]}, {SCHEMA}")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _matcher(shared, shingle: int, threshold: float, radius: int):
+def _search(shared, shingle: int, threshold: float, radius: int) -> Callable:
+    ids, texts = shared.value
+    index = BenchmarkIndex(ids.to_pylist(), texts, shingle, threshold, radius)
+
+    def found(column: pa.Array) -> list[tuple[int, int, int, int, int, float]]:
+        out = []
+        for b, e in chunks(column):
+            out += [(b + row, *rest) for row, *rest in index.search(words(column.slice(b, e - b), lower=True))]
+        return out
+
+    return found
+
+
+def _matcher(shared, shingle: int, threshold: float, radius: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = shared.value
-        index = BenchmarkIndex(ids.to_pylist(), texts, shingle, threshold, radius)
+        search, ids = _search(shared, shingle, threshold, radius), shared.value[0]
         for batch in batches:
-            column = batch.column(1).fill_null("")
-            for b, e in chunks(column):
-                found = list(index.search(words(column.slice(b, e - b), lower=True)))
-                if not found:
-                    continue
-                row, item, *rest = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b, e - b).take(pa.array(row)), ids.take(pa.array(item)), *(pa.array(x, pa.int64()) for x in rest[:3]), pa.array(rest[3], pa.float64())],
-                    names=["doc_id", "item_id", "start", "n_words", "distance", "similarity"],
-                )
+            found = search(batch.column(1).fill_null(""))
+            if not found:
+                continue
+            row, item, *rest = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), ids.take(pa.array(item)), *(pa.array(x, pa.int64()) for x in rest[:3]), pa.array(rest[3], pa.float64())],
+                names=["doc_id", "item_id", "start", "n_words", "distance", "similarity"],
+            )
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the contaminated documents; rows with a null doc_id are
-    judged by their text alone and kept apart by it."""
-    marked = contaminated(docs.select(F.struct("doc_id", F.md5("text").alias("m")).alias("doc_id"), "text"), benchmark, **how).select("doc_id").distinct()
-    key = F.struct("doc_id", F.md5("text").alias("m"))
-    joined = docs.alias("d").join(marked.select(F.col("doc_id").alias("_hit")), key.eqNullSafe(F.col("_hit")), "left_anti")
-    return joined
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 24, block_bytes: int = 8_000_000) -> DataFrame:
+    """``docs`` without the contaminated documents, in one pass without a shuffle."""
+    names, schema = docs.columns, docs.schema
+
+    def sieve(shared) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = _search(shared, shingle, threshold, radius)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in search(batch.column(names.index("text")).fill_null(""))]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for shared in _indexes(benchmark, block_bytes):
+        docs = docs.mapInArrow(sieve(shared), schema)
+    return docs

@@ -356,3 +356,15 @@ def linked_components(docs: DataFrame, size: int = 3, percent: int = 90, bits: i
     named = named.join(lowest, "component").select("high", "low", "component_id")
     out = scanned.select("doc_id", "n", "high", "low").join(named, ["high", "low"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one document of each component, the least id; documents
+    without an id, or without words, stay.  Of rows with one id, one stays."""
+    found = linked_components(docs, size, percent)
+    losers = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
+    kept = docs.join(losers, F.col("doc_id") == F.col("_loser"), "left_anti")
+    ids = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("distinct")).head()
+    if ids["n"] == ids["distinct"]:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

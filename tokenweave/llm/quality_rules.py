@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .textops import chunks, full_windows, mix64, raw, window_hashes, words
 
@@ -93,8 +93,8 @@ def with_counts(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
                 got = text_counts(texts.slice(b, e - b))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, e - b), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], names=[id_column, *COUNTS])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInArrow(count, f"{id_column} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    schema = T.StructType([docs.schema[id_column], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return docs.select(id_column, text).mapInArrow(count, schema)
 
 
 def base_failed() -> Column:
@@ -225,3 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how) -
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, COUNTS, base_failed, rule (0: none) and kept for every document."""
     return with_counts(docs).withColumn("base_failed", base_failed()).withColumn("rule", rejects(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``docs``, whole rows, without those that the base rule or the list rejects."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    return with_counts(rows, "_text", "_row").where(~base_failed() & (rejects(rules) == 0)).select("_row.*")

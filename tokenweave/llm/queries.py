@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, jaccard_join, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, token_files
+from . import decontamination, html_text, jaccard_join, lattice_lm, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, token_files
 from .store import fresh_path
 
 BPE = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_words(table(spark, sf_dir, "documents"), window=20)
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -60,7 +64,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_substring_dedup, op4_quality_rules, op5_decontamination, op6_html_text, op7_sharding, op8_jaccard_join, op9_token_counts, op10_sentencepiece)
+    f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_lattice_lm, op4_quality_rules, op5_decontamination, op6_html_text, op7_sharding, op8_jaccard_join, op9_token_counts, op10_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -23,7 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .pieces import SPACE, Vocabulary, vocabulary
 from .textops import chunks
@@ -131,7 +131,7 @@ def _ids_array(coded: list[bytes], dtype: np.dtype) -> pa.Array:
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "piece_ids") -> DataFrame:
     """``docs`` with a column of ids (array<int>) in place of or beside any of that name."""
     columns = [c for c in docs.columns if c != out]
-    schema = docs.select(columns).schema.add(out, "array<int>")
+    schema = T.StructType([*docs.select(columns).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(model)
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "piece_id
 def decode(coded: DataFrame, model: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """``coded`` with the text of a column of ids; null ids give null."""
     columns = [c for c in coded.columns if c != out]
-    schema = coded.select(columns).schema.add(out, "string")
+    schema = T.StructType([*coded.select(columns).schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(model)
