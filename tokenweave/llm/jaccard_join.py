@@ -13,11 +13,13 @@ one set stand for those of another:
    sizes, or whose least position, cannot reach the overlap asked for is skipped
    as a whole.  Each set is tried against the first fitting set of its list, its
    leader.
-4. Answer skipping: of members tried against one leader, each is kept as its
-   difference from the leader, and a member's answers to the others are derived
-   from the leader's by those differences alone.
-5. Pairs of a list that are in one component already are never looked at again;
-   all others are verified.  So no link between different components is lost.
+4. Answer skipping: members tried against one leader form runs of bounded size.
+   Each is kept as its difference from the leader, and its overlaps with the other
+   members of the run are derived from the leader's by those differences alone.
+   So a run settles all its members' connections, and members of one component are
+   not compared with each other.
+5. Pairs of a list that are in one component, or met in one run, are never looked
+   at again; all others are verified.  So no link between components is lost.
 
 Defined results: null and empty texts have no set and link with nothing; with
 fewer words than the shingle, the whole sequence is the one shingle; repeated
@@ -237,19 +239,23 @@ def _leader_pairs(percent: int) -> Callable:
 
 
 def _cross_pairs(percent: int) -> Callable:
-    """Fitting pairs of sorted lists (shingle, n, position, sid, component) that are in different components."""
+    """Fitting pairs of sorted lists (shingle, sid, n, position, component, other, run)
+    that are in different components and have not met in a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, sid, n, position, component in _lists(batches, 5):
+        for shingle, sid, n, position, component, other, part in _lists(batches, 7):
             rows = []
             for b, e in _groups(shingle):
                 c = component[b:e]
                 if (c == c[0]).all():
                     continue
-                entries, s = _List(n[b:e].astype(np.int64), position[b:e].astype(np.int64), percent), sid[b:e]
+                entries, s, lead, own = _List(n[b:e].astype(np.int64), position[b:e].astype(np.int64), percent), sid[b:e], other[b:e], part[b:e]
                 for k in range(e - b - 1):
+                    if (c == c[k]).all():
+                        continue
                     at = entries.fitting(k)
-                    at = at[c[at] != c[k]]
+                    met = (lead[at] == lead[k]) & ((own[at] == own[k]) | (s[at] == lead[k]) | (s[k] == lead[k]))
+                    at = at[(c[at] != c[k]) & ~met]
                     if len(at):
                         rows.append([np.full(len(at), shingle[b]), s[at], n[b:e][at], position[b:e][at], np.full(len(at), s[k])])
                 if sum(len(r[0]) for r in rows) > 50_000:
@@ -261,65 +267,142 @@ def _cross_pairs(percent: int) -> Callable:
     return run
 
 
+class _Run:
+    """A leader's set and members as differences from it."""
+
+    def __init__(self, sid: int, values: np.ndarray, percent: int):
+        self.percent, self.base = percent, values
+        self.sids = [sid]
+        self.size = [len(values)]
+        self.parent = [0]
+        self.lacks = np.zeros((64, len(values) // 64 + 1), np.uint64)  # bit sets over the leader's shingles
+        self.extra: list[np.ndarray] = [np.zeros(0, np.uint64)]
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def add(self, sid: int, values: np.ndarray) -> list[tuple[int, int]]:
+        """Place a member; the links that join it to components of the run."""
+        base, percent, k = self.base, self.percent, len(self.sids)
+        place = np.minimum(np.searchsorted(base, values), len(base) - 1)
+        shared = base[place] == values
+        bits = np.ones(self.lacks.shape[1] * 64, np.uint8)
+        bits[place[shared]] = 0
+        bits[len(base) :] = 0
+        lacks, extra = np.packbits(bits, bitorder="little").view(np.uint64), values[~shared]
+        if k == len(self.lacks):
+            self.lacks = np.concatenate([self.lacks, np.zeros_like(self.lacks)])
+        self.lacks[k] = lacks
+        self.sids.append(sid)
+        self.size.append(len(values))
+        self.extra.append(extra)
+        self.parent.append(k)
+        links: list[tuple[int, int]] = []
+        common = len(base) - int(np.bitwise_count(lacks).sum())
+        if 100 * common >= percent * (len(base) + len(values) - common):
+            links.append((self.sids[0], sid))
+            self.parent[k] = self.root(0)
+        own = self.root(k)
+        rest = np.array([j for j in range(1, k) if self.root(j) != own], np.int64)
+        if not len(rest):
+            return links
+        size = np.array([self.size[j] for j in rest])
+        least = least_overlap(size, len(values), percent)
+        kept = len(base) - np.bitwise_count(self.lacks[rest] | lacks).sum(axis=1).astype(np.int64)
+        spare = np.minimum(np.array([len(self.extra[j]) for j in rest]), len(extra))
+        for j, inside, need in zip(rest[kept + spare >= least].tolist(), kept[kept + spare >= least].tolist(), least[kept + spare >= least].tolist(), strict=True):
+            if self.root(j) == self.root(k):
+                continue
+            if inside + len(np.intersect1d(extra, self.extra[j], assume_unique=True)) >= need:
+                links.append((self.sids[j], sid))
+                self.parent[self.root(j)] = self.root(k)
+        return links
+
+
 def _verify(percent: int) -> Callable:
-    """Rows (leader, leader's set, member, member's set) in runs of one leader.
-    Gives the links (a, b) of the run: leader to member by intersection, member
-    to member from their differences to the leader."""
+    """Rows (leader, run, rank, sid, set), sorted so that a run's leader (rank 0)
+    comes first; gives links (a, b) that connect what the run connects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, base = None, np.zeros(0, np.uint64)
-        loose: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # members not linked to the leader
+        key, state = None, None
         for batch in batches:
-            a, b = [], []
-            leaders, members = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for k, (lead, member) in enumerate(zip(leaders, members, strict=True)):
-                if lead != leader:
-                    leader, base, loose = lead, np.frombuffer(batch.column(1)[k].as_py(), np.uint64), []
-                own = np.frombuffer(batch.column(3)[k].as_py(), np.uint64)
-                place = np.minimum(np.searchsorted(base, own), len(base) - 1)
-                shared = base[place] == own
-                common = int(shared.sum())
-                if 100 * common >= percent * (len(base) + len(own) - common):
-                    a.append(lead)
-                    b.append(member)
-                    continue
-                missing = np.ones(len(base), bool)
-                missing[place[shared]] = False
-                lacks, extra = np.flatnonzero(missing), own[~shared]
-                if len(lacks) * 3 > len(base):
-                    continue
-                for other, size, o_lacks, o_extra in loose:
-                    least = min(size, len(own))
-                    if 100 * least < percent * max(size, len(own)):
-                        continue
-                    common = len(base) - len(np.union1d(lacks, o_lacks)) + len(np.intersect1d(extra, o_extra, assume_unique=True))
-                    if 100 * common >= percent * (size + len(own) - common):
-                        a.append(other)
-                        b.append(member)
-                        break
-                if len(loose) < _BLOCK:
-                    loose.append((member, len(own), lacks, extra))
-            if a:
+            found: list[tuple[int, int]] = []
+            sets = batch.column(4)
+            for k, (lead, part, rank, sid) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                values = np.frombuffer(sets[k].as_py(), np.uint64)
+                if rank == 0:
+                    key, state = (lead, part), _Run(sid, values, percent)
+                elif (lead, part) == key:
+                    found += state.add(sid, values)
+            if found:
+                a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links of pairs (leader, member)."""
-    member = pairs.join(sets.select(F.col("sid").alias("member"), F.col("values").alias("member_set")), "member")
-    both = member.join(sets.select(F.col("sid").alias("leader"), F.col("values").alias("leader_set")), "leader")
-    return both.select("leader", "leader_set", "member", "member_set").sortWithinPartitions("leader").mapInArrow(_verify(percent), "a long, b long")
+#: Members of a leader that are compared with each other; more are cut into runs.
+RUN = 2048
+
+
+def _in_runs(pairs: DataFrame) -> DataFrame:
+    """leader, member, run of pairs (leader, member)."""
+    counts = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(counts, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / RUN)).alias("run"))
+
+
+def _links(runs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links of (leader, member, run)."""
+    members = runs.join(sets, runs["member"] == sets["sid"]).select("leader", "run", F.lit(1).alias("rank"), "sid", "values")
+    heads = runs.select("leader", "run").distinct()
+    leaders = heads.join(sets, heads["leader"] == sets["sid"]).select("leader", "run", F.lit(0).alias("rank"), "sid", "values")
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.unionByName(leaders).repartition(parts, "leader", "run").sortWithinPartitions("leader", "run", "rank", "sid")
+    return dealt.mapInArrow(_verify(percent), "a long, b long")
+
+
+FILTER_BITS = 24  # the broadcast filter has 2**FILTER_BITS bits
+
+
+def _digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for the top ``bits`` bits of each digest: tells at the scan which texts
+    may be wanted.  Others that pass fall out in the join after it."""
+    width = (1 << bits) // _SLICES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = _slot(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+            for k in np.unique(slot // width).tolist():
+                own = flags.setdefault(k, np.zeros(width, bool))
+                own[slot[slot // width == k] % width] = True
+        for k, own in flags.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["slice", "flags"])
+
+    dealt = digests.select(F.shiftrightunsigned("digest", 64 - _SLICES.bit_length() + 1).cast("int").alias("slice"), "digest").repartition(8, "slice")
+    out = np.zeros((_SLICES, width), bool)
+    for row in dealt.mapInArrow(mark, "slice int, flags binary").collect():  # _SLICES rows, 2**bits bits together
+        out[row["slice"]] = np.unpackbits(np.frombuffer(row["flags"], np.uint8)).astype(bool)
+    return np.packbits(out.ravel())
+
 
+def _set_values(size: int, wanted) -> Callable:
+    """Sets of the texts (doc_id, digest, text) that the filter lets pass."""
 
-def _set_values(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = wanted.value
         for batch in batches:
-            texts = batch.column(1).fill_null("")
+            slot = _slot(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), FILTER_BITS)
+            keep = (flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+            some = batch.filter(pa.array(keep))
+            texts = some.column(2).fill_null("")
             for b, e in chunks(texts):
                 values, bounds = shingle_sets(words(texts.slice(b, e - b), lower=True), size)
                 blobs = [values[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, e - b), pa.array(blobs, pa.binary())], names=["sid", "values"])
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(b, e - b), some.column(1).slice(b, e - b), pa.array(blobs, pa.binary())], names=["doc_id", "digest", "values"])
 
     return run
 
@@ -338,17 +421,21 @@ def linked_components(docs: DataFrame, size: int = 3, percent: int = 90, bits: i
     tried = index.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "position", "sid").mapInArrow(_leader_pairs(percent), _PAIR)
     tried = saved(tried, "tried")
 
-    wanted = tried.select("sid").distinct().join(classes.select("sid", "doc_id", "digest"), "sid")
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "_doc").withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")))
-    sets = saved(texts.select("sid", "text").mapInArrow(_set_values(size), "sid long, values binary").dropDuplicates(["sid"]), "values")
+    wanted = tried.select("sid").distinct().join(classes.select("sid", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "sid")
+    passing = spark.sparkContext.broadcast(_digest_filter(wanted.select(F.col("_digest").alias("digest"))))
+    values = docs.mapInArrow(_set_values(size, passing), "doc_id long, digest long, values binary")
+    values = values.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")))
+    sets = saved(values.groupBy("sid").agg(F.first("values").alias("values")), "values")
 
     pairs = tried.where("sid <> other").select(F.col("other").alias("leader"), F.col("sid").alias("member")).distinct()
-    links = saved(_links(pairs, sets, percent), "links")
+    runs = saved(_in_runs(pairs), "runs")
+    links = saved(_links(runs, sets, percent), "links")
     first = components(links)
-    known = tried.select("shingle", "sid", "n", "position").join(first.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "sid", "n", "position", F.coalesce("component", "sid").alias("component"))
+    known = tried.join(first.withColumnRenamed("node", "sid"), "sid", "left").join(runs.select(F.col("leader").alias("other"), F.col("member").alias("sid"), "run"), ["other", "sid"], "left")
+    known = known.select("shingle", "sid", "n", "position", F.coalesce("component", "sid").alias("component"), "other", F.coalesce("run", F.lit(-1)).alias("run"))
     cross = known.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "position", "sid").mapInArrow(_cross_pairs(percent), _PAIR)
     rest = cross.select(F.col("other").alias("leader"), F.col("sid").alias("member")).distinct().join(pairs, ["leader", "member"], "left_anti")
-    links = saved(links.unionByName(_links(rest, sets, percent)), "links")
+    links = saved(links.unionByName(_links(_in_runs(rest), sets, percent)), "links")
 
     final = components(links)
     named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("high", "low", "least", F.coalesce("component", "sid").alias("component"))
