@@ -11,8 +11,9 @@ one set stand for those of another:
    position.
 3. Index skipping: a list is sorted by size and cut into blocks; a block whose
    sizes, or whose least position, cannot reach the overlap asked for is skipped
-   as a whole.  Each set is tried against the first fitting set of its list, its
-   leader.
+   as a whole.  In a short list all fitting pairs are tried, in a long one each
+   set against the first fitting set, its leader.  Pairs from short lists whose
+   counts of shingles by bucket already rule out the overlap are dropped.
 4. Answer skipping: members tried against one leader form runs of bounded size.
    Each is kept as its difference from the leader, and its overlaps with the other
    members of the run are derived from the leader's by those differences alone.
@@ -42,7 +43,7 @@ from .textops import chunks, mix64, shingle_sets, signed, words
 SKETCH_BITS = 20  # the broadcast sketch has 2**SKETCH_BITS bytes
 _SLICES = 64
 _BLOCK = 64
-_LONG = 4096
+_SHORT, _LONG = 8, 4096
 _U = np.uint64
 
 
@@ -90,7 +91,40 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-_SET = "doc_id long, digest long, high long, low long, n int, prefix binary"
+#: Buckets of a set's profile, one byte each; 255 stands for that many or more.
+PROFILE = 32
+
+
+def profile(values: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall in each bucket."""
+    return np.minimum(np.bincount((values & _U(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8)
+
+
+def _reachable(percent: int) -> Callable:
+    """Pairs (leader, member, their sizes and profiles) whose overlap may suffice:
+    it is at most the sum of the lesser counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PROFILE) for k in (4, 5))
+            low = np.minimum(x, y)
+            keep = (low.sum(axis=1, dtype=np.int64) >= least_overlap(a, b, percent)) | (low == 255).any(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (leader, member) that their profiles do not rule out."""
+    side = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("profile").alias(f"{c}_profile"))
+    met = pairs.join(side("leader"), "leader").join(side("member"), "member")
+    return met.select("leader", "member", "leader_n", "member_n", "leader_profile", "member_profile").mapInArrow(_reachable(percent), "leader long, member long")
+
+
+_SET = "doc_id long, digest long, high long, low long, n int, prefix binary, profile binary"
 
 
 def _scan_sets(sketch, size: int, percent: int, bits: int) -> Callable:
@@ -108,16 +142,19 @@ def _scan_sets(sketch, size: int, percent: int, bits: int) -> Callable:
                 rank = levels[_slot(values, bits)]
                 keep = prefix_length(n, percent)
                 prefixes: list[bytes | None] = []
+                profiles: list[bytes | None] = []
                 for k, key in enumerate(zip(high.tolist(), low.tolist(), strict=True)):
                     if not n[k] or key in sent:
                         prefixes.append(None)
+                        profiles.append(None)
                         continue
                     sent.add(key)
                     own, at = values[bounds[k] : bounds[k + 1]], rank[bounds[k] : bounds[k + 1]]
                     prefixes.append(own[np.argsort(at, kind="stable")[: keep[k]]].tobytes())
+                    profiles.append(profile(own).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b, e - b), batch.column(1).slice(b, e - b), pa.array(signed(high)), pa.array(signed(low)), pa.array(n.astype(np.int32)), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "digest", "high", "low", "n", "prefix"],
+                    [batch.column(0).slice(b, e - b), batch.column(1).slice(b, e - b), pa.array(signed(high)), pa.array(signed(low)), pa.array(n.astype(np.int32)), pa.array(prefixes, pa.binary()), pa.array(profiles, pa.binary())],
+                    names=["doc_id", "digest", "high", "low", "n", "prefix", "profile"],
                 )
 
     return run
@@ -219,14 +256,22 @@ def _follow(entries: _List) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _leader_pairs(percent: int) -> Callable:
-    """From sorted lists, for each entry with a fitting partner one row; ``other``
-    is its leader, or itself where it leads."""
+    """From sorted lists: of short ones every fitting pair (position -1); of long
+    ones a row for each entry with a fitting partner, where ``other`` is its leader,
+    or itself where it leads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shingle, sid, n, position in _lists(batches, 4):
             rows = []
             for b, e in _groups(shingle):
                 entries = _List(n[b:e].astype(np.int64), position[b:e].astype(np.int64), percent)
+                if e - b <= _SHORT:
+                    fits = [(k, at) for k in range(e - b - 1) if len(at := entries.fitting(k))]
+                    if fits:
+                        first = np.concatenate([np.full(len(at), k) for k, at in fits])
+                        second = np.concatenate([at for _, at in fits])
+                        rows.append([shingle[b:e][second], sid[b:e][second], n[b:e][second], np.full(len(second), -1), sid[b:e][first]])
+                    continue
                 leader, listed = _follow(entries)
                 used = np.flatnonzero(listed)
                 if len(used):
@@ -413,29 +458,33 @@ def linked_components(docs: DataFrame, size: int = 3, percent: int = 90, bits: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, size, bits))
     scanned = saved(docs.mapInArrow(_scan_sets(sketch, size, percent, bits), _SET), "sets")
-    classes = scanned.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max(F.struct(F.col("prefix").isNotNull().alias("has"), "doc_id", "digest", "prefix")).alias("one"), F.max("n").alias("n"))
-    classes = saved(classes.select("high", "low", "least", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.digest").alias("digest"), F.col("one.prefix").alias("prefix"), F.monotonically_increasing_id().alias("sid")), "classes")
+    classes = scanned.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max(F.struct(F.col("prefix").isNotNull().alias("has"), "doc_id", "digest", "prefix", "profile")).alias("one"), F.max("n").alias("n"))
+    classes = saved(classes.select("high", "low", "least", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.digest").alias("digest"), F.col("one.prefix").alias("prefix"), F.col("one.profile").alias("profile"), F.monotonically_increasing_id().alias("sid")), "classes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = classes.select("sid", "n", "prefix").mapInArrow(_entries, "shingle long, sid long, n int, position int")
     tried = index.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "position", "sid").mapInArrow(_leader_pairs(percent), _PAIR)
     tried = saved(tried, "tried")
 
-    wanted = tried.select("sid").distinct().join(classes.select("sid", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "sid")
+    long = tried.where("position >= 0")
+    short = tried.where("position < 0").select(F.col("other").alias("leader"), F.col("sid").alias("member")).distinct()
+    pairs = saved(_pruned(short, classes, percent).unionByName(long.where("sid <> other").select(F.col("other").alias("leader"), F.col("sid").alias("member"))).distinct(), "pairs")
+    wanted = pairs.select(F.col("leader").alias("sid")).unionByName(pairs.select(F.col("member").alias("sid"))).unionByName(long.select("sid")).distinct()
+    wanted = wanted.join(classes.select("sid", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "sid")
     passing = spark.sparkContext.broadcast(_digest_filter(wanted.select(F.col("_digest").alias("digest"))))
     values = docs.mapInArrow(_set_values(size, passing), "doc_id long, digest long, values binary")
-    values = values.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")))
-    sets = saved(values.groupBy("sid").agg(F.first("values").alias("values")), "values")
+    # Repeated rows give a set twice, which a run does not mind.
+    values = values.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")))
+    sets = saved(values.select("sid", "values"), "values")
 
-    pairs = tried.where("sid <> other").select(F.col("other").alias("leader"), F.col("sid").alias("member")).distinct()
     runs = saved(_in_runs(pairs), "runs")
     links = saved(_links(runs, sets, percent), "links")
     first = components(links)
-    known = tried.join(first.withColumnRenamed("node", "sid"), "sid", "left").join(runs.select(F.col("leader").alias("other"), F.col("member").alias("sid"), "run"), ["other", "sid"], "left")
+    known = long.join(first.withColumnRenamed("node", "sid"), "sid", "left").join(runs.select(F.col("leader").alias("other"), F.col("member").alias("sid"), "run"), ["other", "sid"], "left")
     known = known.select("shingle", "sid", "n", "position", F.coalesce("component", "sid").alias("component"), "other", F.coalesce("run", F.lit(-1)).alias("run"))
     cross = known.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "position", "sid").mapInArrow(_cross_pairs(percent), _PAIR)
     rest = cross.select(F.col("other").alias("leader"), F.col("sid").alias("member")).distinct().join(pairs, ["leader", "member"], "left_anti")
-    links = saved(links.unionByName(_links(_in_runs(rest), sets, percent)), "links")
+    links = saved(links.unionByName(_links(_in_runs(_pruned(rest, classes, percent)), sets, percent)), "links")
 
     final = components(links)
     named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("high", "low", "least", F.coalesce("component", "sid").alias("component"))
@@ -450,8 +499,9 @@ def representatives(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     without an id, or without words, stay.  Of rows with one id, one stays."""
     found = linked_components(docs, size, percent)
     losers = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    kept = docs.join(losers, F.col("doc_id") == F.col("_loser"), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    kept = rows.join(losers, F.col("_id") == F.col("_loser"), "left_anti")
     ids = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("distinct")).head()
-    if ids["n"] == ids["distinct"]:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    if ids["n"] != ids["distinct"]:
+        kept = kept.where("_id is not null").dropDuplicates(["_id"]).unionByName(kept.where("_id is null"))
+    return kept.select("_row.*")
