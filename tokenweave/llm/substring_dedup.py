@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .fm_index import FMIndex
 from .store import saved
@@ -291,20 +291,18 @@ def removed_words(docs: DataFrame, window: int = 20) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = 20) -> DataFrame:
     """``docs`` with texts reduced to their kept words, joined by one space, where
     something was removed; documents of which nothing is left are left out."""
-    names = docs.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = names.index("text")
         for batch in batches:
-            out = batch.column(place).to_pylist()
-            lists = batch.column(len(names)).to_pylist()
+            out, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             hit = [k for k, x in enumerate(lists) if x]
             w = words(pa.array([out[k] for k in hit], pa.string()), hashes=False)
             for j, k in enumerate(hit):
                 out[k] = b" ".join(_kept(w, j, lists[k])[1]).decode()
-            columns = list(batch.columns[: len(names)])
-            columns[place] = pa.array(out, pa.string())
-            gone = pa.array([x is None or t != "" for x, t in zip(lists, out, strict=True)])
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(gone)
-
-    return _joined(docs, window).select(*names, "_spans").mapInArrow(run, docs.schema)
+            stays = pa.array([x is None or t != "" for x, t in zip(lists, out, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_row", "_text"]).filter(stays)
+
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    joined = _joined(rows, window).select("_row", "text", "_spans")
+    schema = T.StructType([joined.schema["_row"], T.StructField("_text", T.StringType())])
+    done = joined.mapInArrow(run, schema)
+    return done.select(*(F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
