@@ -138,8 +138,9 @@ def test_fm_index_counts():
         assert all(len(v) == 1 for v in seen.values()) and len(seen) == len(all_windows)
 
 
-@pytest.mark.parametrize("window", [10, 20])
-def test_substring_dedup_against_brute_force(make, window):
+@pytest.mark.parametrize(("window", "hot"), [(10, 50_000), (20, 50_000), (20, 3)])
+def test_substring_dedup_against_brute_force(make, monkeypatch, window, hot):
+    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (window, hot))
     rows = [r for r in EDGES if r[0] is not None] + [(d + 100, t) for d, t in corpus(5, 70)]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.removed_words(make(rows), window).collect()}
     assert got == brute.removed(rows, window)

@@ -7,8 +7,10 @@ earlier.  Words covered by repeats are removed; windows are judged on the input.
    it, so equal windows have equal anchors.  Only anchors that occur twice can
    stand in repeats.
 2. The stretch of windows around one anchor is a segment.  Segments with a
-   repeated anchor go to that anchor's shard; equal segments of one task travel
-   with one copy of their words.
+   repeated anchor go to that anchor's shard.  Of equal segments of one task, only
+   the earliest has to; the others are repeats already and are spread evenly.  An
+   anchor that is very frequent would still gather many different segments, so
+   its segments are cut into single windows, dealt by their own hash.
 3. A shard indexes its distinct segments (suffix array, BWT, wavelet matrix) and
    streams them through backward search.  Where the matching statistic reaches the
    window, all places of the window are one run of the suffix array, and the
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .fm_index import FMIndex
 from .store import saved
-from .textops import chunks, full_windows, signed, span_sequence_hashes, window_hashes, words
+from .textops import chunks, full_windows, mix64, signed, span_sequence_hashes, window_hashes, words
 
 ANCHOR = 8
 #: Symbols indexed together; a shard is cut at the next anchor beyond.
@@ -89,9 +91,25 @@ def _scan_anchors(window: int) -> Callable:
 _SEGMENT = "anchor long, content long, doc long, digest long, start int, size int, body binary"
 
 
+def _cut(row: np.ndarray, value: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray, grams: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments (row, key, first, last) with those of hot anchors cut into windows;
+    ``grams`` are the window hashes by place, ``base`` the place of each row."""
+    count = np.where(hot, last - first + 1, 1)
+    at = np.repeat(np.arange(len(row)), count)
+    inside = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    cut = hot[at]
+    begin = first[at] + inside
+    stop = np.where(cut, begin, last[at])
+    key = np.where(cut, grams[np.where(cut, base[row[at]] + begin, 0)], value[at])
+    return row[at], key, begin, stop
+
+
 def _scan_segments(window: int) -> Callable:
+    """Segments of documents (doc, digest, text, places), where the places of hot
+    anchors are given as -1 - place.  Rows of a negative size are repeats for sure."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        least: dict[tuple[int, int], tuple[int, int]] = {}
         for batch in batches:
             texts = batch.column(2).fill_null("")
             keys, digests = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -102,18 +120,27 @@ def _scan_segments(window: int) -> Callable:
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 owner = np.repeat(np.arange(e - b), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 wide = np.int64(1) << np.int64(32)
-                keep = np.isin(row * wide + place, owner * wide + flat)
-                row, value, first, last = row[keep], value[keep], first[keep], last[keep]
+                hot = np.isin(row * wide + place, owner[flat < 0] * wide - 1 - flat[flat < 0])
+                keep = hot | np.isin(row * wide + place, owner * wide + flat)
+                row, value, first, last, hot = row[keep], value[keep], first[keep], last[keep], hot[keep]
+                if hot.any():
+                    row, value, first, last = _cut(row, value, first, last, hot, window_hashes(w.hash, window), w.first)
                 size = last - first + window
                 begin = w.first[row] + first
                 content = span_sequence_hashes(w.hash, begin, size)
                 bodies: list[bytes | None] = []
-                for k, (a, c) in enumerate(zip(value.tolist(), content.tolist(), strict=True)):
-                    if (a, c) in sent:
-                        bodies.append(None)
-                    else:
-                        sent.add((a, c))
+                doc, sure = keys[b + row], np.zeros(len(row), bool)
+                for k, (key, when) in enumerate(zip(zip(value.tolist(), content.tolist(), strict=True), zip(doc.tolist(), first.tolist(), strict=True), strict=True)):
+                    seen = least.get(key)
+                    if seen is None:
                         bodies.append(w.hash[begin[k] : begin[k] + size[k]].tobytes())
+                    else:
+                        bodies.append(None)
+                        sure[k] = when > seen
+                    if seen is None or when < seen:
+                        least[key] = when
+                size = np.where(sure, -size, size)
+                value = np.where(sure, mix64(doc.astype(np.uint64) * np.uint64(31) + first.astype(np.uint64)), value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(value)), pa.array(signed(content)), pa.array(keys[b + row]), pa.array(digests[b + row]), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(bodies, pa.binary())],
                     names=["anchor", "content", "doc", "digest", "start", "size", "body"],
@@ -191,6 +218,12 @@ def _search_shards(window: int) -> Callable:
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], axis=1)
+            sure = rows[:, 5] < 0
+            if sure.any():
+                yield _spans_batch(np.stack([rows[sure, 2], rows[sure, 3], rows[sure, 4], rows[sure, 4] - rows[sure, 5]], axis=1))
+                rows, batch = rows[~sure], batch.filter(pa.array(~sure))
+                if not len(rows):
+                    continue
             valid = np.flatnonzero(batch.column(6).is_valid().to_numpy(zero_copy_only=False))
             same = np.zeros(len(rows), bool)
             same[1:] = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
@@ -235,12 +268,17 @@ def _search_shards(window: int) -> Callable:
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
+#: An anchor with more places is hot.
+HOT = 50_000
+
+
+def repeated_spans(docs: DataFrame, window: int = 20, hot: int = HOT) -> DataFrame:
     """doc, digest, spans: word spans (first, last) to remove of each document text."""
     keyed = docs.select(_key().alias("doc"), F.xxhash64("text").alias("digest"), "text")
-    places = keyed.select("doc", "text").mapInArrow(_scan_anchors(window), "anchor long, doc long, place int")
-    often = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = places.join(often.select("anchor"), "anchor", "left_semi")
+    places = saved(keyed.select("doc", "text").mapInArrow(_scan_anchors(window), "anchor long, doc long, place int"), "anchors")
+    # Written apart, so that the join below reads two plain exchanges and a hot anchor can be split.
+    often = saved(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot")), "repeated")
+    hits = places.join(often, "anchor").select("doc", F.when(F.col("hot"), -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
     hits = saved(hits.groupBy("doc").agg(F.collect_list("place").alias("places")), "anchor-places")
     met = keyed.join(hits, "doc").select("doc", "digest", "text", "places")
     segments = met.mapInArrow(_scan_segments(window), _SEGMENT)
