@@ -155,11 +155,23 @@ def test_search_without_pruning_finds_the_exact_answer(fixture):
     assert len(got & want) >= 0.95 * len(want)
     with pytest.raises(ValueError):
         index.search(fixture.queries, 0)
+    with pytest.raises(Exception, match="dimensions"):
+        index.search(fixture.queries.withColumn("embedding", F.slice("embedding", 1, 32)), 5).collect()
     index.options = SearchOptions(nprobe=17)
     with pytest.raises(ValueError):
         index.search(fixture.queries, 5)
 
 
+def test_queries_in_blocks(fixture, monkeypatch):
+    from tokenweave import index as module
+
+    index = fixture.index()
+    rows = lambda: sorted(map(tuple, index.search(fixture.queries, 5).withColumn("score", F.round("score", 9)).collect()))
+    whole = rows()
+    monkeypatch.setattr(module, "QUERY_BLOCK", 3)
+    assert rows() == whole and len(whole) == 20
+
+
 def test_ties(spark):
     partial = spark.createDataFrame([(0, 5, 1.0), (0, 3, 1.0), (0, 9, 2.0)], "query_id int, doc_id int, partial double")
     assert [r["doc_id"] for r in S.refine(partial, 3).orderBy("prank").collect()] == [9, 3, 5]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import build as B
 from .operators import search as S
-from .options import PADDED_DIM, SEED, BuildOptions, SearchOptions
+from .options import PADDED_DIM, QUERY_TOKENS, SEED, BuildOptions, SearchOptions
 
 FORMAT_VERSION = 1
 TABLES = ("docs", "centroids", "postings", "doc_codes")
@@ -35,8 +35,8 @@ class MultiVectorIndex:
         stats = B.validate(tokens, doc_lens, how)
         docs = B.doc_offsets(doc_lens)
         owned = tokens.select("token_id", "embedding").join(B.token_doc_map(docs), "token_id")
-        centroids = B.rotated(B.sample_centroids(tokens, n_clusters, seed), padded_dim, seed, ["cluster_id", "token_id"])
         plain = B.sample_centroids(tokens, n_clusters, seed)
+        centroids = B.rotated(plain, padded_dim, seed, ["cluster_id", "token_id"])
         encoded = B.encode(B.assign_nearest(owned, plain), how)
         posted = B.postings(encoded)
         meta = {"n": stats["n_tokens"], "d": stats["dim_most"], "padded_dim": padded_dim, "n_clusters": n_clusters, "ex_bits": ex_bits, "seed": seed, "format_version": FORMAT_VERSION}
@@ -50,23 +50,22 @@ class MultiVectorIndex:
         o.check_clusters(m["n_clusters"])
         if o.cagra_itopk_size < o.nprobe:
             warnings.warn("cagra_itopk_size is below nprobe; probing is exact, so it has no effect", stacklevel=2)
+        states = S.query_states(queries, m["padded_dim"], m["seed"], m["ex_bits"], m["d"])
+        matrices = S.query_matrices(states, QUERY_BLOCK * QUERY_TOKENS)
+        if matrices is not None:
+            return self._search_block(states, matrices, k)
         ids = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]
         out = None
-        for b in range(0, max(len(ids), 1), QUERY_BLOCK):
-            block = queries if len(ids) <= QUERY_BLOCK else queries.where(F.col("query_id").between(ids[b], ids[min(b + QUERY_BLOCK, len(ids)) - 1]))
-            found = self._search_block(block, k)
+        for b in range(0, len(ids), QUERY_BLOCK):
+            block = states.where(F.col("query_id").between(ids[b], ids[min(b + QUERY_BLOCK, len(ids)) - 1]))
+            found = self._search_block(block, S.query_matrices(block), k)
             out = found if out is None else out.unionByName(found)
         return out
 
-    def _search_block(self, queries: DataFrame, k: int) -> DataFrame:
+    def _search_block(self, states: DataFrame, matrices: dict, k: int) -> DataFrame:
         o, m = self.options, self.meta
         dim = m["padded_dim"]
-        states = S.query_states(queries, dim, m["seed"], m["ex_bits"])
-        matrices = S.query_matrices(states)
-        for x, _, _ in matrices.values():
-            if x.shape[1] != dim:
-                raise ValueError("queries differ from the index in dimension")
-        shared = queries.sparkSession.sparkContext.broadcast(matrices)
+        shared = states.sparkSession.sparkContext.broadcast(matrices)
         probes = S.probe(states, self.centroids, o.nprobe)
         partial = S.partial_scores(S.probed_tokens(probes, self.postings), shared, dim)
         refined = S.refine(partial, o.k_refine)

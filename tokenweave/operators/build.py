@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import quantize
 from ..functions.prefix import numbered, running_sum
 from ..functions.rotation import rotate
-from ..options import SEED, BuildOptions
+from ..options import PADDED_DIM, SEED, BuildOptions
 
 #: Bytes of centroids in one broadcast; more are met block by block.
 BROADCAST_BYTES = 128 << 20
@@ -81,13 +81,17 @@ def sample_centroids(tokens: DataFrame, n_clusters: int, seed: int = SEED) -> Da
     return chosen.select((F.row_number().over(order) - 1).cast("int").alias("cluster_id"), "token_id", "embedding")
 
 
-def centroid_blocks(centroids: DataFrame, column: str = "embedding", limit: int = BROADCAST_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(cluster ids, matrix) of blocks of at most ``limit`` bytes, in order."""
-    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("d")).head()
-    rows = max(1, limit // (8 * max(size["d"] or 1, 1)))
-    for begin in range(0, size["n"], rows):
-        part = centroids.where((F.col("cluster_id") >= begin) & (F.col("cluster_id") < begin + rows)).select("cluster_id", column).orderBy("cluster_id").toArrow()
-        yield part.column(0).to_numpy(), vectors(part.column(1))
+def centroid_blocks(centroids: DataFrame, column: str = "embedding", limit: int = BROADCAST_BYTES, width: int = PADDED_DIM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cluster ids, matrix) of blocks of at most ``limit`` bytes, in order of
+    cluster_id, which counts from 0; vectors have at most ``width`` components."""
+    rows, begin = max(1, limit // (8 * width)), 0
+    while True:
+        part = centroids.where((F.col("cluster_id") >= begin) & (F.col("cluster_id") < begin + rows)).select("cluster_id", column).toArrow().sort_by("cluster_id")
+        if part.num_rows:
+            yield part.column(0).to_numpy(), vectors(part.column(1))
+        if part.num_rows < rows:
+            return
+        begin += rows
 
 
 def squared_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:

@@ -20,13 +20,16 @@ from .build import BROADCAST_BYTES, centroid_blocks, lists, squared_distances, v
 MOST_QUERY_TOKENS = 63
 
 
-def query_states(queries: DataFrame, padded: int, seed: int, ex_bits: int) -> DataFrame:
-    """query_id, q_pos, rotated, cb1_sumq, cbex_sumq."""
+def query_states(queries: DataFrame, padded: int, seed: int, ex_bits: int, dim: int | None = None) -> DataFrame:
+    """query_id, q_pos, rotated, cb1_sumq, cbex_sumq; ``dim`` is the dimension asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = rotate(vectors(batch.column(2)), padded, seed)
+                plain = vectors(batch.column(2))
+                if dim is not None and plain.shape[1] != dim:
+                    raise ValueError(f"queries have {plain.shape[1]} dimensions, the index {dim}")
+                x = rotate(plain, padded, seed)
                 one, full = quantize.query_sums(x, ex_bits)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(x), pa.array(one), pa.array(full)], names=["query_id", "q_pos", "rotated", "cb1_sumq", "cbex_sumq"])
 
@@ -93,9 +96,13 @@ def candidate_docs(probes: DataFrame, postings: DataFrame) -> DataFrame:
     return probes.select("query_id", "cluster_id").distinct().join(postings.select("cluster_id", "doc_id").distinct(), "cluster_id").select("query_id", "doc_id").distinct()
 
 
-def query_matrices(states: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rotated tokens and sums of a bounded block of queries."""
-    rows = states.orderBy("query_id", "q_pos").toArrow()
+def query_matrices(states: DataFrame, most: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+    """Rotated tokens and sums of a bounded block of queries; None if they have
+    over ``most`` tokens together."""
+    rows = (states if most is None else states.limit(most + 1)).toArrow()
+    if most is not None and rows.num_rows > most:
+        return None
+    rows = rows.sort_by([("query_id", "ascending"), ("q_pos", "ascending")])
     ids, x = rows.column("query_id").to_numpy(), vectors(rows.column("rotated"))
     one, full = rows.column("cb1_sumq").to_numpy(), rows.column("cbex_sumq").to_numpy()
     place = rows.column("q_pos").to_numpy()
