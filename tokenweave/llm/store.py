@@ -41,11 +41,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     so a lost executor never causes work before this point to run again."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a folder below the shared one."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def discard(df: DataFrame) -> None:
+    """Remove the files of a saved table that nothing reads any more."""
+    spark, path = df.sparkSession, df._saved_path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

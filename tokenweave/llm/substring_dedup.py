@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .fm_index import FMIndex
-from .store import saved
+from .store import discard, saved
 from .textops import chunks, full_windows, mix64, signed, span_sequence_hashes, window_hashes, words
 
 ANCHOR = 8
@@ -280,6 +280,8 @@ def repeated_spans(docs: DataFrame, window: int = 20, hot: int = HOT) -> DataFra
     often = saved(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot")), "repeated")
     hits = places.join(often, "anchor").select("doc", F.when(F.col("hot"), -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
     hits = saved(hits.groupBy("doc").agg(F.collect_list("place").alias("places")), "anchor-places")
+    discard(places)
+    discard(often)
     met = keyed.join(hits, "doc").select("doc", "digest", "text", "places")
     segments = met.mapInArrow(_scan_segments(window), _SEGMENT)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
