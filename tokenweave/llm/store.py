@@ -41,6 +41,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     so a lost executor never causes work before this point to run again."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of the finished step go when the driver's collector finds their plan unused.
+    df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out

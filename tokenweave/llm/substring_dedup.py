@@ -139,6 +139,14 @@ def _scan_segments(window: int) -> Callable:
                         sure[k] = when > seen
                     if seen is None or when < seen:
                         least[key] = when
+                # Neighbouring repeats are one row; a whole copy of a document mostly is.
+                joins = np.zeros(len(row), bool)
+                joins[1:] = sure[1:] & sure[:-1] & (row[1:] == row[:-1]) & (first[1:] == last[:-1] + 1)
+                heads = np.flatnonzero(~joins)
+                if len(heads):
+                    end = last[np.concatenate([heads[1:], [len(row)]]) - 1]
+                    row, first, value, content, doc, sure = (x[heads] for x in (row, first, value, content, doc, sure))
+                    size, bodies = end - first + window, [bodies[k] for k in heads.tolist()]
                 size = np.where(sure, -size, size)
                 value = np.where(sure, mix64(doc.astype(np.uint64) * np.uint64(31) + first.astype(np.uint64)), value)
                 yield pa.RecordBatch.from_arrays(
