@@ -36,13 +36,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark removes them once the
+    driver's collector finds their plans unused, and events still name them."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    context._jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     so a lost executor never causes work before this point to run again."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of the finished step go when the driver's collector finds their plan unused.
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out
