@@ -412,7 +412,7 @@ def _links(runs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 FILTER_BITS = 24  # the broadcast filter has 2**FILTER_BITS bits
 
 
-def _digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A bit for the top ``bits`` bits of each digest: tells at the scan which texts
     may be wanted.  Others that pass fall out in the join after it."""
     width = (1 << bits) // _SLICES
@@ -434,15 +434,19 @@ def _digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.packbits(out.ravel())
 
 
+def passes(flags: np.ndarray, digests: pa.Array) -> np.ndarray:
+    """Which digests (longs) a filter lets pass."""
+    slot = _slot(digests.to_numpy(zero_copy_only=False).view(np.uint64), FILTER_BITS)
+    return (flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _set_values(size: int, wanted) -> Callable:
     """Sets of the texts (doc_id, digest, text) that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = wanted.value
         for batch in batches:
-            slot = _slot(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), FILTER_BITS)
-            keep = (flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-            some = batch.filter(pa.array(keep))
+            some = batch.filter(pa.array(passes(flags, batch.column(1))))
             texts = some.column(2).fill_null("")
             for b, e in chunks(texts):
                 values, bounds = shingle_sets(words(texts.slice(b, e - b), lower=True), size)
@@ -471,7 +475,7 @@ def linked_components(docs: DataFrame, size: int = 3, percent: int = 90, bits: i
     pairs = saved(_pruned(short, classes, percent).unionByName(long.where("sid <> other").select(F.col("other").alias("leader"), F.col("sid").alias("member"))).distinct(), "pairs")
     wanted = pairs.select(F.col("leader").alias("sid")).unionByName(pairs.select(F.col("member").alias("sid"))).unionByName(long.select("sid")).distinct()
     wanted = wanted.join(classes.select("sid", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "sid")
-    passing = spark.sparkContext.broadcast(_digest_filter(wanted.select(F.col("_digest").alias("digest"))))
+    passing = spark.sparkContext.broadcast(digest_filter(wanted.select(F.col("_digest").alias("digest"))))
     values = docs.mapInArrow(_set_values(size, passing), "doc_id long, digest long, values binary")
     # Repeated rows give a set twice, which a run does not mind.
     values = values.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")))

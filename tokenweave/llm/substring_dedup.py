@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .fm_index import FMIndex
+from .jaccard_join import digest_filter, passes
 from .store import discard, saved
 from .textops import chunks, full_windows, mix64, signed, span_sequence_hashes, window_hashes, words
 
@@ -276,6 +277,17 @@ def _search_shards(window: int) -> Callable:
     return run
 
 
+def _sift(shared) -> Callable:
+    """Rows (doc, key, digest, text) that the filter lets pass, without the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(passes(shared.value, batch.column(1)))).select([0, 2, 3])
+
+    return run
+
+
 #: An anchor with more places is hot.
 HOT = 50_000
 
@@ -290,7 +302,10 @@ def repeated_spans(docs: DataFrame, window: int = 20, hot: int = HOT) -> DataFra
     hits = saved(hits.groupBy("doc").agg(F.collect_list("place").alias("places")), "anchor-places")
     discard(places)
     discard(often)
-    met = keyed.join(hits, "doc").select("doc", "digest", "text", "places")
+    # A filter of fixed size keeps most texts without repeated anchors out of the exchange.
+    shared = docs.sparkSession.sparkContext.broadcast(digest_filter(hits.select(F.xxhash64("doc").alias("digest"))))
+    wanted = keyed.select("doc", F.xxhash64("doc").alias("key"), "digest", "text").mapInArrow(_sift(shared), "doc long, digest long, text string")
+    met = wanted.join(hits, "doc").select("doc", "digest", "text", "places")
     segments = met.mapInArrow(_scan_segments(window), _SEGMENT)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = segments.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "start")
