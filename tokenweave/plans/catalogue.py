@@ -18,15 +18,15 @@ from ..operators import capacity, evaluate
 from ..operators import search as S
 from ..options import PADDED_DIM
 from ..sources import ground_truth, mvbin
-from .fixture import BUILD, CLUSTERS, OPTIONS, QUERIES as N_QUERIES, Fixture, K
+from .fixture import BUILD, CLUSTERS, OPTIONS, QUERIES as N_QUERIES, EveryFiftieth, Fixture, K
 from .oracle import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def query(f: Callable[[Fixture], DataFrame]) -> Callable:
+def query(f: Callable[[Fixture], DataFrame], corpus: type[Fixture] = Fixture) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(Fixture(spark, sf_dir))
+        return f(corpus(spark, sf_dir))
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     QUERIES[f.__name__] = run
@@ -232,6 +232,29 @@ def search_topk(f):
     return f.index().search(f.queries, K).withColumn("score", F.round("score", 6))
 
 
+# --- every document whose id is divisible by 50, against all documents; too long for SQL ---
+
+
+def fiftieth(f: Callable[[EveryFiftieth], DataFrame]) -> Callable:
+    return query(f, EveryFiftieth)
+
+
+@fiftieth
+def exact_every_50th(f):
+    return f.exact.withColumn("score", F.round("score", 6))
+
+
+@fiftieth
+def search_every_50th(f):
+    """An index is built, saved, loaded and searched."""
+    return f.found(shared_folder(f.spark)).withColumn("score", F.round("score", 6))
+
+
+@fiftieth
+def recall_every_50th(f):
+    return evaluate.recall_at_k(f.exact, f.found(shared_folder(f.spark)), K, f.n_queries).withColumn("recall", F.round("recall", 6))
+
+
 # --- evaluation, sources and sinks --------------------------------------------------------
 
 

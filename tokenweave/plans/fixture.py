@@ -1,7 +1,9 @@
 """The sample corpus: token embeddings, documents and queries from table ``embeddings``.
 
 Tokens are numbered by (label, vec_id); documents have lengths 3, 2, 4 in turn;
-query q consists of the first 32 tokens of label 2q.
+query q consists of the first 32 tokens of label 2q.  These four queries and their
+small options are a sample that SQL follows step by step; ``EveryFiftieth`` asks for
+every document whose id is divisible by 50.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ CLUSTERS = 64
 OPTIONS = SearchOptions(nprobe=2, k_refine=40, k_full_bit=16, cagra_itopk_size=150, num_chunks=3)
 BUILD = BuildOptions(n_clusters=CLUSTERS, ex_bits=4)
 QUERIES = 4
+EVERY = 50
 
 
 @dataclass
@@ -116,3 +119,24 @@ class Fixture:
 
     def index(self) -> MultiVectorIndex:
         return MultiVectorIndex.build(self.tokens.select("token_id", "embedding"), self.doc_lens, CLUSTERS, BUILD.ex_bits, OPTIONS)
+
+
+@dataclass
+class EveryFiftieth(Fixture):
+    """The same documents, asked for those whose id is divisible by 50: query_id is the
+    id and all tokens of the document are asked, so the queries grow with the table."""
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("token_id")) - 1
+        return self.tokens.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), place.alias("q_pos"), "embedding")
+
+    @cached_property
+    def n_queries(self) -> int:
+        return self.queries.select("query_id").distinct().count()
+
+    def found(self, path: str) -> DataFrame:
+        """The first K documents of each query, from an index saved below ``path``."""
+        index = self.index()
+        index.save(path)
+        return MultiVectorIndex.load(self.spark, path, index.options).search(self.queries, K)
