@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry_point
+from tokenweave.options import clusters_for, options_for
 from tokenweave.plans.fixture import EveryFiftieth
 
 DATA = "/root/testdata"
@@ -33,3 +34,17 @@ def test_queries_grow_with_the_table(spark, sf):
     for r in entry_point.queries()["exact_every_50th"](spark, f"{DATA}/{sf}").orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])
     assert got == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_is_at_least_nine_tenths(spark, sf):
+    want = exact(f"{DATA}/{sf}")
+    got = entry_point.queries()["search_every_50th"](spark, f"{DATA}/{sf}").collect()
+    assert len(got) == 10 * len(want)
+    assert sum(r["doc_id"] in want[r["query_id"]] for r in got) >= 0.9 * len(got)
+
+
+def test_options_grow_with_the_table():
+    small, large = options_for(clusters_for(2000), 667), options_for(clusters_for(10**6), 300_000)
+    assert clusters_for(40) == 40 and clusters_for(2000) == 64 and small.nprobe == 64 and (small.k_refine, small.k_full_bit) == (3000, 300)
+    assert (large.nprobe, large.k_refine, large.k_full_bit) == (5000, 75_000, 15_000)

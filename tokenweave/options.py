@@ -31,6 +31,20 @@ class SearchOptions:
             raise ValueError("nprobe must not exceed n_clusters")
 
 
+def clusters_for(n_tokens: int) -> int:
+    """One cluster for 100 tokens, 64 at least."""
+    return min(n_tokens, max(64, -(-n_tokens // 100)))
+
+
+def options_for(n_clusters: int, n_docs: int) -> SearchOptions:
+    """The defaults, or shares where these are more: half of the clusters, a quarter
+    of the documents and a twentieth of them for full-bit scores.  Fixed numbers
+    would lose ever more neighbours as a table grows."""
+    plain = SearchOptions()
+    nprobe = min(n_clusters, max(plain.nprobe, -(-n_clusters // 2)))
+    return SearchOptions(nprobe, max(plain.k_refine, -(-n_docs // 4)), max(plain.k_full_bit, -(-n_docs // 20)), max(plain.cagra_itopk_size, nprobe), plain.num_chunks)
+
+
 @dataclass(frozen=True)
 class BuildOptions:
     n_clusters: int

@@ -17,7 +17,7 @@ from ..functions.prefix import numbered
 from ..index import MultiVectorIndex
 from ..operators import build as B
 from ..operators import search as S
-from ..options import PADDED_DIM, QUERY_TOKENS, SEED, BuildOptions, SearchOptions
+from ..options import PADDED_DIM, QUERY_TOKENS, SEED, BuildOptions, SearchOptions, clusters_for, options_for
 
 K = 10
 CLUSTERS = 64
@@ -135,6 +135,11 @@ class EveryFiftieth(Fixture):
     def n_queries(self) -> int:
         return self.queries.select("query_id").distinct().count()
 
+    def index(self) -> MultiVectorIndex:
+        """With numbers of clusters, probes and documents that grow with the table."""
+        clusters = clusters_for(self.tokens.count())
+        return MultiVectorIndex.build(self.tokens.select("token_id", "embedding"), self.doc_lens, clusters, BUILD.ex_bits, options_for(clusters, self.doc_lens.count()))
+
     def found(self, path: str) -> DataFrame:
         """The first K documents of each query, from an index saved below ``path``."""
         index = self.index()
