@@ -291,6 +291,13 @@ def test_html_main_text():
     assert html_text.main_text("<nav><a href=x>only</a></nav>") == ""
 
 
+def test_html_svg_and_math():
+    page = "<article><p>The first <svg class='i'/> paragraph has an icon in it.</p><p>So we find <math/> that <math><mi>E</mi><mo>=</mo><mrow><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow></math> holds for all bodies.</p><svg><text>drawn</text></svg><p>The last paragraph closes the text.</p></article>"
+    got = [" ".join(b.text for b in html_text.blocks(page)), html_text.main_text(page)]
+    for text in got:
+        assert "icon in it." in text and "So we find that E=mc2 holds for all bodies." in text and "closes the text." in text and "drawn" not in text
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(2)
     for _ in range(30):

@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*+>?", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
-_RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "title", "math", "canvas")
+_RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "title", "canvas")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas belong to the block around them.
+_INLINE |= frozenset("math maction annotation annotation-xml menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 _SPACE = re.compile(r"\s+")
 #: An open element of the first kind ends when one of the second opens.
 _CLOSES = {
@@ -155,10 +157,11 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if tag in _RAW_END:
-            m = _RAW_END[tag].search(page, at)
             if tag not in _INLINE:
                 flush()
-            at = m.end() if m else end
+            if tag != "svg" or not token.endswith("/>"):  # only foreign elements may close themselves
+                m = _RAW_END[tag].search(page, at)
+                at = m.end() if m else end
             continue
         if tag == "br":
             add(" ")
