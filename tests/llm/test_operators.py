@@ -392,6 +392,15 @@ def test_jaccard_edges(make):
     assert jaccard_join.representatives(make([(3, text), (3, text), (9, text), (None, None)])).count() == 2
 
 
+def test_representatives_of_repeated_ids(make):
+    a, b, c = prose(5, 60), prose(6, 60), prose(7, 60)
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (7, f"{c} more"), (1, c[:40]), (8, None), (8, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.representatives(make(rows)).collect()]
+    near = [r for r in kept if r[1] in (c, f"{c} more")]
+    assert len(near) == 1 and near[0][0] == 7
+    assert sorted((r for r in kept if r not in near), key=str) == sorted([(1, a), (5, b), (1, c[:40]), (8, None), (8, " ")], key=str)
+
+
 def test_list_skipping_loses_nothing():
     r = np.random.default_rng(5)
     n = np.sort(r.integers(20, 400, 600))

@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
 from .store import saved
@@ -456,8 +456,9 @@ def _set_values(size: int, wanted) -> Callable:
     return run
 
 
-def linked_components(docs: DataFrame, size: int = 3, percent: int = 90, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _linked(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, component (null without shingles; its own
+    also where two have one least id) and component_id of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, size, bits))
@@ -493,19 +494,30 @@ def linked_components(docs: DataFrame, size: int = 3, percent: int = 90, bits: i
     final = components(links)
     named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("high", "low", "least", F.coalesce("component", "sid").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(lowest, "component").select("high", "low", "component_id")
-    out = scanned.select("doc_id", "n", "high", "low").join(named, ["high", "low"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(lowest, "component").select("high", "low", "component", "component_id")
+    out = scanned.select("doc_id", "digest", "n", "high", "low").join(named, ["high", "low"], "left")
+    return out.select("doc_id", "digest", F.col("n").cast("long").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def linked_components(docs: DataFrame, size: int = 3, percent: int = 90, bits: int = SKETCH_BITS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return _linked(docs, size, percent, bits).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one document of each component, the least id; documents
-    without an id, or without words, stay.  Of rows with one id, one stays."""
-    found = linked_components(docs, size, percent)
-    losers = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
-    kept = rows.join(losers, F.col("_id") == F.col("_loser"), "left_anti")
+    without an id, or without words, stay.  Rows are told apart by id and text: of
+    rows with one id, those of one component, or of one text, leave one."""
+    found = _linked(docs, size, percent)
     ids = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("distinct")).head()
-    if ids["n"] != ids["distinct"]:
-        kept = kept.where("_id is not null").dropDuplicates(["_id"]).unionByName(kept.where("_id is null"))
+    repeated = ids["n"] != ids["distinct"]
+    loses = F.col("doc_id") != F.col("component_id")
+    if repeated:
+        found = found.withColumn("_first", F.min("digest").over(Window.partitionBy("doc_id", "component")))
+        loses |= F.col("digest") != F.col("_first")
+    losers = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & loses).select(F.col("doc_id").alias("_loser"), F.col("digest").alias("_lost")).distinct()
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_digest"), F.struct(*docs.columns).alias("_row"))
+    kept = rows.join(losers, (F.col("_id") == F.col("_loser")) & (F.col("_digest") == F.col("_lost")), "left_anti")
+    if repeated:
+        kept = kept.where("_id is not null").dropDuplicates(["_id", "_digest"]).unionByName(kept.where("_id is null"))
     return kept.select("_row.*")
