@@ -298,6 +298,14 @@ def test_html_svg_and_math():
         assert "icon in it." in text and "So we find that E=mc2 holds for all bodies." in text and "closes the text." in text and "drawn" not in text
 
 
+def test_html_siblings_across_adverts():
+    advert = "<div class='ad'>Buy these shoes today, cheap.</div>"
+    strong = "<p>This is a long paragraph of the text with many words, and all of them belong to the story that is told.</p>"
+    found = html_text.blocks(f"<div>{strong}{advert}<p>A weak one</p>{advert}{strong}</div>")
+    assert set(html_text.neighbours(found)) == {(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (1, 3), (2, 4)}
+    assert html_text.label(found) == [True, False, True, False, True]
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(2)
     for _ in range(30):

@@ -2,7 +2,7 @@
 
 A page becomes a row of text blocks in page order.  A linear classifier gives
 each block a cost for either label; the costs are the capacities of its edges to
-the two terminals.  Neighbouring blocks are joined by smoothness edges whose
+the two terminals.  Neighbouring blocks, in page order or under one parent, are joined by smoothness edges whose
 capacity falls with their distance in the element tree.  Maximum flow finds the
 cheapest labelling, and the source side is the main text.
 
@@ -276,6 +276,21 @@ def tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     return len(a) + len(b) - 2 * same
 
 
+def neighbours(found: list[Block]) -> list[tuple[int, int]]:
+    """Pairs with a smoothness edge: consecutive blocks, and each block with the one
+    before it under the same parent whose boilerplate marks are the same, so that
+    an advert or notice does not part its neighbours."""
+    out, last = [], {}
+    for k, b in enumerate(found):
+        kind = (b.path[:-1], b.features["boiler_tag"], b.features["boiler_word"])
+        if k:
+            out.append((k - 1, k))
+        if last.get(kind, k - 1) < k - 1:
+            out.append((last[kind], k))
+        last[kind] = k
+    return out
+
+
 def label(found: list[Block]) -> list[bool]:
     """True for main text: the minimum cut of the page's network."""
     n = len(found)
@@ -286,9 +301,9 @@ def label(found: list[Block]) -> list[bool]:
         value = score(b.features)
         net.join(source, k, max(value, 0.0))
         net.join(k, sink, max(-value, 0.0))
-    for k in range(n - 1):
-        weight = SMOOTHNESS / (1 + max(0, tree_distance(found[k].path, found[k + 1].path) - 2)) ** 2
-        net.join(k, k + 1, weight, weight)
+    for j, k in neighbours(found):
+        weight = SMOOTHNESS / (1 + max(0, tree_distance(found[j].path, found[k].path) - 2)) ** 2
+        net.join(j, k, weight, weight)
     return net.source_side(source, sink)[:n]
 
 
