@@ -8,6 +8,9 @@ joined.  A text in which a space touches other white space is encoded whole.
 
 A piece of Latin letters is one pre-token for sure, as is a full stop or comma
 after it; those go straight to the library's BPE model.
+
+The library reads the string of an added token (such as an end mark) in a text as
+that token, wherever it stands.  A text that holds one is encoded whole.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from functools import cache
 
 import numpy as np
 
-#: Distinct pieces remembered by a worker; about 200 bytes each.
-CACHE_PIECES = 1_000_000
+#: Bytes of pieces, with their ids, that a worker remembers; a piece costs ``ENTRY_BYTES``
+#: and four bytes a character.
+CACHE_BYTES, ENTRY_BYTES = 200 << 20, 200
 
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
@@ -40,32 +44,31 @@ class BpeEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        # A second copy that knows its special tokens: one of them marks the ends of pieces in a joint call.
-        self.joint = Tokenizer.from_file(path)
-        self.mark, self.mark_id = next(((t.content, i) for i, t in sorted(self.joint.get_added_tokens_decoder().items()) if t.special), (None, None))
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items())
+        self.added = [t.content for _, t in added]
+        # One of the special tokens marks the ends of pieces in a joint call.
+        self.mark, self.mark_id = next(((t.content, i) for i, t in added if t.special), (None, None))
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._stops = {x: self._raw([x])[0] for x in ".,"}
         self._alphabet = _byte_alphabet()
         self._inner: dict[str, bytes | None] = {}
         self._first: dict[str, bytes] = {}
+        self._held = 0
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in got]
 
     def _raw_pieces(self, pieces: list[str], at_once: int = 64) -> list[bytes]:
-        """As ``_raw``; many short pieces cost one call, with the mark between them."""
-        if self.mark is None or any(self.mark[0] in x for x in pieces):
-            clean = [self.mark is not None and self.mark[0] not in x for x in pieces]
-            joint = iter(self._raw_pieces([x for x, c in zip(pieces, clean, strict=True) if c], at_once) if any(clean) else ())
-            alone = iter(self._raw([x for x, c in zip(pieces, clean, strict=True) if not c]))
-            return [next(joint) if c else next(alone) for c in clean]
+        """As ``_raw``, of pieces without added tokens; many short ones cost one
+        call, with the mark between them."""
+        if self.mark is None:
+            return self._raw(pieces)
         out, width = [], self.dtype.itemsize
         for b in range(0, len(pieces), at_once):
-            ids = np.array(self.joint.encode_batch_fast([self.mark.join(pieces[b : b + at_once])], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces[b : b + at_once])], add_special_tokens=False)[0].ids, self.dtype)
             cut, raw = (np.flatnonzero(ids == self.mark_id) * width).tolist(), ids.tobytes()
             out += [raw[x:y] for x, y in zip([0, *(c + width for c in cut)], [*cut, len(raw)], strict=True)]
         return out
@@ -77,8 +80,12 @@ class BpeEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``dtype`` wide."""
-        if len(self._inner) + len(self._first) > CACHE_PIECES:
-            self._inner, self._first = {}, {}
+        marked = {k for k, t in enumerate(texts) if any(x in t for x in self.added)}
+        if marked:
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in marked]))
+            return [self._raw([t])[0] if k in marked else next(rest) for k, t in enumerate(texts)]
+        if self._held > CACHE_BYTES:
+            self._inner, self._first, self._held = {}, {}, 0
         inner, split = self._inner, [t.split(" ") for t in texts]
         new = [x for x in set().union(*split) if x not in inner]
         fine = []
@@ -97,6 +104,7 @@ class BpeEncoder:
         inner.update(zip(fine, self._raw_pieces([" " + x for x in fine]), strict=True))
         heads = list({s[0] for s in split} - self._first.keys())
         self._first.update(zip(heads, self._raw(heads), strict=True))
+        self._held += ENTRY_BYTES * (len(new) + len(heads)) + 4 * (sum(map(len, new)) + sum(map(len, heads)))
         out = []
         for text, pieces in zip(texts, split, strict=True):
             head, pieces[0] = self._first[pieces[0]], ""

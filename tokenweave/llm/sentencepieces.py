@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .pieces import SPACE, Vocabulary, vocabulary
 from .textops import chunks
 
-CACHE_WORDS = 500_000
+#: Bytes of words, with their ids, that a worker remembers; a word costs ``ENTRY_BYTES``
+#: and six bytes a character.
+CACHE_BYTES, ENTRY_BYTES = 100 << 20, 200
 #: A stand-in for a literal space mark while marks stand for spaces; a
 #: noncharacter, and itself spelled in bytes like any unknown character.
 _LITERAL = "﷐"
@@ -39,6 +41,7 @@ class PieceCoder:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self._known: dict[str, bytes] = {}
+        self._held = 0
         self._bytes = [p.encode() for p in (x.replace(SPACE, " ") for x in vocab.pieces)]
         for value, i in vocab.byte_ids.items():
             self._bytes[i] = bytes([value])
@@ -96,8 +99,9 @@ class PieceCoder:
             text = text.replace(SPACE, _LITERAL)
         if not self.vocab.by_word:
             return self._word(SPACE + text.replace(" ", SPACE))
-        if len(known) > CACHE_WORDS:
+        if self._held > CACHE_BYTES:
             known.clear()
+            self._held = 0
         words = text.split(" ")
         if "" in words:
             words = [x for x in _SPLIT.findall(SPACE + text.replace(" ", SPACE)) if x]
@@ -105,6 +109,7 @@ class PieceCoder:
             words = [SPACE + x for x in words]
         for x in set(words).difference(known):
             known[x] = self._word(x)
+            self._held += ENTRY_BYTES + 6 * len(x)
         return b"".join(map(known.__getitem__, words))
 
     def _spelled(self, part: str) -> bytes:

@@ -134,10 +134,27 @@ def words(column: pa.Array, lower: bool = False, hashes: bool = True) -> Words:
     return Words(data, start, end, value, first)
 
 
+#: Bytes of words hashed at a time; a longer word is hashed alone.
+_HASH_BYTES = 4_000_000
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of disjoint, ascending byte spans."""
     if not len(start):
         return np.zeros(0, np.uint64)
+    total = np.cumsum(end - start)
+    if total[-1] <= _HASH_BYTES:
+        return _span_hashes(data, start, end)
+    out, b = np.empty(len(start), np.uint64), 0
+    while b < len(start):
+        before = int(total[b - 1]) if b else 0
+        e = max(b + 1, int(np.searchsorted(total, before + _HASH_BYTES, side="right")))
+        out[b:e] = _span_hashes(data, start[b:e], end[b:e])
+        b = e
+    return out
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     length = end - start
     first = np.cumsum(length) - length
     within = np.arange(int(length.sum()), dtype=np.int64)
