@@ -77,9 +77,21 @@ def test_shingle_sets_match_brute_force():
 def encoded(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(BPE).encode(text or "", add_special_tokens=False).ids
+
+
+def test_added_tokens_and_small_caches(monkeypatch):
+    from tokenweave.llm import bpe
+
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b  c", "a\n<|endoftext|>", "plain text, 'tis", "", *(t or "" for _, t in EDGES), *(t for _, t in corpus(n=30))]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(sentencepieces, "CACHE_BYTES", 2000)
+    use, pieces = bpe.BpeEncoder(BPE), sentencepieces.PieceCoder(sentencepieces.vocabulary(PIECES))
+    for _ in range(2):
+        for b in range(0, len(texts), 7):
+            assert [np.frombuffer(x, use.dtype).tolist() for x in use.encode(texts[b : b + 7])] == [encoded(x) for x in texts[b : b + 7]]
+    assert all(pieces.decode(pieces.encode(x)) == x for x in texts)
+    assert 50256 in encoded(texts[0])
 
 
 def test_token_files_round_trip(spark, make):
@@ -420,10 +432,29 @@ def test_list_skipping_loses_nothing():
         assert entries.fitting(k).tolist() == plain.tolist()
 
 
-def test_components_of_a_long_chain(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components(links).collect()}
-    assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
+def test_components_need_few_rounds(spark, monkeypatch):
+    from tokenweave.llm import components as module
+
+    rounds, write = [], module.saved
+    monkeypatch.setattr(module, "saved", lambda df, name: rounds.append(name) or write(df, name))
+    order = list(range(2000, 3000))
+    random.Random(6).shuffle(order)
+    rows = [(k, k - 1) for k in range(999, 0, -1)] + list(zip(order, order[1:], strict=False)) + [(5500, k) for k in range(5000, 6000)] + [(7000, 7000), (7001, 7001), (7001, 7002), (None, 3)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(1000)} | {k: 2000 for k in range(2000, 3000)} | {k: 5000 for k in range(5000, 6000)} | {7000: 7000, 7001: 7001, 7002: 7001}
+    assert rounds.count("edges") - 1 < 15
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jaccard_chain(make):
+    """Each text differs by one word from the one before, so links form a chain."""
+    w = prose(21, 400, 10**6).split()
+    rows = []
+    for d in range(90, 0, -1):
+        w = [*w[4:], *(f"new{d}x{k}" for k in range(4))]
+        rows.append((d, " ".join(w)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.linked_components(make(rows)).collect()}
+    assert got == brute.components(rows) and {c for _, c in got.values()} == {1}
 
 
 # --- 10: sentence pieces ------------------------------------------------------------------------

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .store import saved
+from .store import discard, saved
 from .textops import chunks, mix64, shingle_sets, signed, words
 
 SKETCH_BITS = 20  # the broadcast sketch has 2**SKETCH_BITS bytes
@@ -490,6 +490,7 @@ def _linked(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS) -
     cross = known.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "position", "sid").mapInArrow(_cross_pairs(percent), _PAIR)
     rest = cross.select(F.col("other").alias("leader"), F.col("sid").alias("member")).distinct().join(pairs, ["leader", "member"], "left_anti")
     links = saved(links.unionByName(_links(_in_runs(_pruned(rest, classes, percent)), sets, percent)), "links")
+    discard(tried, pairs, sets, runs)
 
     final = components(links)
     named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("high", "low", "least", F.coalesce("component", "sid").alias("component"))

@@ -36,27 +36,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: Spark removes them once the
-    driver's collector finds their plans unused, and events still name them."""
-    context = spark.sparkContext
-    context._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    context._jvm.System.gc()
+#: Makes Spark remove the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    so a lost executor never causes work before this point to run again."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    so a lost executor never causes work before this point to run again.  The
+    shuffle files of the write go when it ends."""
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a saved table that nothing reads any more."""
-    spark, path = df.sparkSession, df._saved_path
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of saved tables that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._saved_path
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
