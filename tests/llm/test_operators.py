@@ -276,7 +276,7 @@ def test_decontamination_against_brute_force(spark, make):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contaminated(make(docs), table).collect()
     assert {(x["doc_id"], x["item_id"]) for x in got} == brute.leaks(docs, items)
-    assert all(x["similarity"] >= 0.8 and x["distance"] <= 24 for x in got)
+    assert all(x["similarity"] >= 0.8 and x["distance"] <= decontamination.RADIUS for x in got)
     few = decontamination.contaminated(make(docs), table, block_bytes=800)
     assert {(x["doc_id"], x["item_id"]) for x in few.collect()} == {(x["doc_id"], x["item_id"]) for x in got}
     clean = decontamination.clean(make(docs), table)
@@ -285,6 +285,45 @@ def test_decontamination_against_brute_force(spark, make):
     assert decontamination.contaminated(make(docs), table.limit(0)).count() == 0
 
 
+def test_windows_in_slices_and_listed_candidates(monkeypatch):
+    """A long text, slices shorter than it, and block lists in place of comparisons with all items."""
+    items = [prose(k + 500, n) for k, n in enumerate([15, 38, 38, 38, 57, 300, 4])]
+    w = prose(9, 6000).split()
+    for k, at in enumerate((0, 700, 2100, 3000, 4000, 5000, 5900)):
+        w[at : at + len(items[k].split())] = items[k].split()
+    w[2110] = "changed"
+    texts = pa.array([" ".join(w), " ".join(items[5].split()[:260]), None, items[0], "a " * 3000])
+    found = []
+    for size, few in ((decontamination.SLICE, 16), (64, 16), (64, 0)):
+        monkeypatch.setattr(decontamination, "SLICE", size)
+        monkeypatch.setattr(decontamination, "FEW", few)
+        index = decontamination.BenchmarkIndex(list(range(len(items))), pa.array(items), 5, 0.8, decontamination.RADIUS)
+        found.append(list(index.search(textops.words(texts, lower=True))))
+    assert found[0] == found[1] == found[2]
+    assert {x[:2] for x in found[0]} == brute.leaks(enumerate(texts.to_pylist()), list(enumerate(items)))
+
+
+def test_radius_keeps_similar_windows():
+    """Of windows at similarity 0.8 and over, the radius keeps nearly all."""
+    r, kept, n = np.random.default_rng(1), 0, 0
+    for _ in range(4000):
+        size = int(r.integers(15, 120))
+        a = textops.mix64(r.integers(0, 2**63, size).astype(np.uint64))
+        b = a.copy()
+        b[r.choice(size, int(r.integers(1, 4)), replace=False)] = textops.mix64(r.integers(0, 2**63, 1).astype(np.uint64))
+        a, b = textops.window_hashes(a, 5), textops.window_hashes(b, 5)
+        if decontamination.similarity(b, np.unique(a, return_counts=True)) >= 0.8:
+            n += 1
+            kept += int(np.bitwise_count(decontamination.fingerprint(a) ^ decontamination.fingerprint(b))) <= decontamination.RADIUS
+    assert n > 1000 and kept >= 0.98 * n
+
+
+def test_blocks_of_the_benchmark():
+    blocks = decontamination.item_blocks([(3, 10), (5, 80), (6, 30), (9, 500), (10, 5)], 100)
+    assert blocks == [(3, 5, 1), (6, 6, 1), (9, 9, 5), (10, 10, 1)]
+    assert len(decontamination.item_blocks([(n, 1) for n in range(1, 301)], 10**6)) == 3
+
+
 # --- 6: HTML ------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>";</script></head><body>
