@@ -353,10 +353,53 @@ def test_html_siblings_across_adverts():
     advert = "<div class='ad'>Buy these shoes today, cheap.</div>"
     strong = "<p>This is a long paragraph of the text with many words, and all of them belong to the story that is told.</p>"
     found = html_text.blocks(f"<div>{strong}{advert}<p>A weak one</p>{advert}{strong}</div>")
-    assert set(html_text.neighbours(found)) == {(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (1, 3), (2, 4)}
+    assert set(html_text.neighbours(found)) == {(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (2, 4)}
     assert html_text.label(found) == [True, False, True, False, True]
 
 
+def test_html_wrappers_do_not_hide_the_text():
+    inner = "<h1>Title</h1><p>This is a first paragraph of the text, long enough to be one.</p><p>Short.</p>"
+    want = "Title\n\nThis is a first paragraph of the text, long enough to be one.\n\nShort."
+    wraps = ['<div class="layout has-sidebar">%s</div>', '<div class="page no-comments">%s</div>', '<div id="share-page">%s</div>', '<form id="aspnetForm"><input>%s</form>', '<div class="sidebar-layout">%s</div>']
+    for wrap in wraps:
+        for tag in ("article", "div", "main"):
+            page = f"<body><nav><a href=x>Home</a></nav>{wrap % f'<{tag}>{inner}</{tag}>'}<aside>Read also</aside><footer>All rights</footer></body>"
+            assert html_text.main_text(page) == want, page
+    comments = '<section id="comments"><article class="comment"><p>I liked this text a lot, thanks for it.</p></article></section>'
+    related = '<div class="related-posts"><article><p>Another story that you may like, told today.</p></article></div>'
+    assert html_text.main_text(f"<body><article>{inner * 5}</article>{comments}{related}</body>") == "\n\n".join([want] * 5)
+
+
+def test_html_cut_changes_labels():
+    """Blocks whose own score has the other sign: rescued by siblings or an article, or lost to a marked element."""
+    strong = "<p>This is a long paragraph of the text with many words, and all of them belong to the story that is told.</p>"
+    found = html_text.blocks(f"<div><div>Read on</div>{strong}<div>A weak one</div>{strong}</div><ul><li><a href=x>Home</a><li><a href=y>Shop</a></ul>")
+    assert [html_text.score(b.features) > 0 for b in found] == [False, True, False, True, False, False]
+    assert html_text.label(found) == [True, True, True, True, False, False]
+    found = html_text.blocks(PAGE)
+    assert sum((html_text.score(b.features) > 0) != kept for b, kept in zip(found, html_text.label(found), strict=True)) >= 5
+
+
+def test_html_weights_are_fitted(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    weights = html_text.fit(pages)
+    assert weights != html_text.WEIGHTS and weights["paragraph"] > 0 > weights["link_share"]
+    x, y = zip(*(html_text.labelled(r["html"]) for r in pages.limit(20).collect()), strict=True)
+    x, y = np.array([v for part in x for v in part]), np.array([v for part in y for v in part])
+    assert ((x @ np.array(list(weights.values())) > 0) == y).mean() > 0.95
+    assert html_text.fit(pages.limit(0)) == html_text.WEIGHTS
+    # Without its article element a page still gives its text.
+    page = next(r["html"] for r in pages.collect() if r["html"])
+    assert html_text.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>"), weights) == html_text.main_text(page, weights) != ""
+
+
+def test_html_long_page():
+    words = "word " * 200_000
+    page = f"<article><p>{words}.</p>{'<p>One more paragraph of this page.</p>' * 3000}</article><footer>end</footer>"
+    text = html_text.main_text(page)
+    assert text.count("One more") == 3000 and text.count("word") == 200_000 and not text.endswith("end")
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(2)
     for _ in range(30):
