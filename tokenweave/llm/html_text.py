@@ -123,7 +123,7 @@ def marks_of(elements: list[Element], total: int) -> list[Mark]:
     for e in elements:
         above = out[e.parent.number] if e.parent is not None else _NONE
         share = e.words / max(total, 1)
-        fades = (0.8, 1.0) if e.comments else (0.5, 0.9)
+        fades = (0.8, 1.0) if e.comments else (0.4, 0.7)
         strength = min(1.0, max(0.0, (fades[1] - share) / (fades[1] - fades[0])))
         form = e.tag in ("form", "fieldset") and e.fields > 0 and e.words <= 30 * e.fields
         in_article = above.value == CONTENT
