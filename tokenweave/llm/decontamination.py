@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .textops import Words, chunks, span_sequence_hashes, window_hashes, words
 
 BLOCKS, BLOCK_BITS = 4, 16
-#: Windows met at a time; their running sums fit in a core's cache.
-SLICE = 32_768
+#: Windows met at a time, and those fingerprinted at a time.
+SLICE, TILE = 16384, 4096
 #: Lengths of items in one broadcast block; each has a table of 64 KB and lists.
 MOST_LENGTHS = 128
 RADIUS = 15
@@ -62,18 +62,22 @@ def running_bits(shingles: np.ndarray, most: int) -> np.ndarray:
 
 
 class _Printer:
-    """Fingerprints of many windows at a time, without new memory for each call."""
+    """Fingerprints of many windows, in tiles that stay in a core's cache."""
 
     def __init__(self):
-        self.ones, self.set = np.zeros((0, 64), np.uint8), np.zeros((0, 64), bool)
+        self.ones, self.set = np.empty((TILE, 64), np.uint8), np.empty((TILE, 64), bool)
 
     def windows(self, bits: np.ndarray, count: int, n: int) -> np.ndarray:
         """Of ``count`` shingles from each of the first n places."""
-        if len(self.ones) < n or self.ones.dtype != bits.dtype:
-            self.ones, self.set = np.empty((n, 64), bits.dtype), np.empty((n, 64), bool)
-        np.subtract(bits[count : count + n], bits[:n], out=self.ones[:n])
-        np.greater(self.ones[:n], count // 2, out=self.set[:n])
-        return np.packbits(self.set[:n]).view(np.uint64)
+        if self.ones.dtype != bits.dtype:
+            self.ones = np.empty((TILE, 64), bits.dtype)
+        out = np.empty((n, 8), np.uint8)
+        for b in range(0, n, TILE):
+            m = min(TILE, n - b)
+            np.subtract(bits[b + count : b + count + m], bits[b : b + m], out=self.ones[:m])
+            np.greater(self.ones[:m], count // 2, out=self.set[:m])
+            out[b : b + m] = np.packbits(self.set[:m]).reshape(-1, 8)
+        return out.view(np.uint64).ravel()
 
 
 def fingerprint(shingles: np.ndarray) -> np.uint64:
@@ -127,8 +131,9 @@ class _Class:
         at the lists of the blocks."""
         if len(self.prints) <= FEW:
             distance = np.bitwise_count(prints[:, None] ^ self.prints)
-            window, item = np.nonzero(distance <= self.radius)
-            return window, item, distance[window, item].astype(np.int64)
+            at = np.flatnonzero((distance <= self.radius).ravel())
+            window, item = np.divmod(at, len(self.prints))
+            return window, item, distance.ravel()[at].astype(np.int64)
         part = prints.view(np.uint16).reshape(-1, BLOCKS)
         found = []
         for b in range(BLOCKS):
@@ -221,22 +226,32 @@ class BenchmarkIndex:
 
     def _verify(self, c: _Class, w: Words, value: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray, item: np.ndarray, distance: np.ndarray, best: dict) -> None:
         """Keep the best window of each pair at or over the threshold.  Equal windows are
-        compared once, and where a window has all of an item, only windows of its
-        fingerprint could too."""
+        compared once, and none whose shingles in common, repeated ones included,
+        cannot beat the best so far."""
         low, high = int(start.min()), int((start + length).max())
         content = span_sequence_hashes(w.hash[low:high], start - low, length)
+        count = length - c.size + 1
+        flat = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        bound = np.zeros(len(item))
+        for i in np.unique(item).tolist():
+            own = item == i
+            x, y = value[flat[np.repeat(own, count)]], c.bags[i][0]
+            hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+            most = np.minimum(np.add.reduceat(hit, np.cumsum(count[own]) - count[own], dtype=np.int64), c.count)
+            bound[own] = most / (count[own] + c.count - most)
         known: dict[tuple[int, int], float] = {}
-        order = np.lexsort((start, distance))
-        for r, s, n, i, d, key in zip(*(x[order].tolist() for x in (row, start, length, item, distance, content)), strict=True):
+        order = np.lexsort((start, -bound))
+        order = order[bound[order] >= self.threshold]
+        for r, s, n, i, d, key, most in zip(*(x[order].tolist() for x in (row, start, length, item, distance, content, bound)), strict=True):
             pair = r, c.ids[i]
-            if d and pair in best and best[pair][0] == 1.0:
+            at = int(w.first[r]) - s
+            if pair in best and (most, at) <= best[pair][:2]:
                 continue
             got = known.get((key, i))
             if got is None:
                 got = known[key, i] = similarity(value[s : s + n - c.size + 1], c.bags[i])
-            this = (got, int(w.first[r]) - s, n, d)
-            if got >= self.threshold and (pair not in best or this[:2] > best[pair][:2]):
-                best[pair] = this
+            if got >= self.threshold and (pair not in best or (got, at) > best[pair][:2]):
+                best[pair] = got, at, n, d
 
 
 SCHEMA = "start long, n_words long, distance long, similarity double"
