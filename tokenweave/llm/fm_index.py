@@ -124,6 +124,7 @@ class FMIndex:
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.run = np.cumsum(fresh) - 1
         self.run_start = np.flatnonzero(fresh)
+        self.run_size = np.diff(np.append(self.run_start, len(text)))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Extend each pattern's suffix interval by one symbol to the left."""
@@ -134,8 +135,9 @@ class FMIndex:
     def windows_of_parts(self) -> tuple[np.ndarray, np.ndarray]:
         """Stream every part through the index from its right end.
 
-        Returns text positions whose matching statistic reaches the window, and
-        for each the number of its run of equal windows.
+        Returns text positions whose matching statistic reaches the window and whose
+        window's interval has two suffixes or more, so that it occurs elsewhere too,
+        and for each the number of its run of equal windows.
         """
         length = self.end - self.begin
         order = np.argsort(-length, kind="stable")
@@ -147,8 +149,11 @@ class FMIndex:
             at = end[:active] - 1 - t
             low, high = self.step(self.text[at], low[:active], high[:active])
             if t + 1 >= self.window:
-                positions.append(at)
-                runs.append(self.run[low])
+                # The part from here on is one suffix of the run, the interval of its first ``window`` symbols.
+                run = self.run[low]
+                many = self.run_size[run] > 1
+                positions.append(at[many])
+                runs.append(run[many])
         if not positions:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(positions), np.concatenate(runs)

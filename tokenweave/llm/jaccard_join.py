@@ -409,12 +409,14 @@ def _links(runs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_verify(percent), "a long, b long")
 
 
-FILTER_BITS = 24  # the broadcast filter has 2**FILTER_BITS bits
+#: The broadcast filter has eight bits for each digest, in a power of two between these.
+FILTER_BITS = 20, 28
 
 
-def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit for the top ``bits`` bits of each digest: tells at the scan which texts
-    may be wanted.  Others that pass fall out in the join after it."""
+def digest_filter(digests: DataFrame) -> np.ndarray:
+    """A bit for the top bits of each digest: tells at the scan which texts may be
+    wanted.  Others that pass fall out in the join after it.  At most 32 MB."""
+    bits = min(max((8 * digests.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     width = (1 << bits) // _SLICES
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +438,7 @@ def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 def passes(flags: np.ndarray, digests: pa.Array) -> np.ndarray:
     """Which digests (longs) a filter lets pass."""
-    slot = _slot(digests.to_numpy(zero_copy_only=False).view(np.uint64), FILTER_BITS)
+    slot = _slot(digests.to_numpy(zero_copy_only=False).view(np.uint64), (8 * len(flags)).bit_length() - 1)
     return (flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -475,7 +477,7 @@ def _linked(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS) -
     short = tried.where("position < 0").select(F.col("other").alias("leader"), F.col("sid").alias("member")).distinct()
     pairs = saved(_pruned(short, classes, percent).unionByName(long.where("sid <> other").select(F.col("other").alias("leader"), F.col("sid").alias("member"))).distinct(), "pairs")
     wanted = pairs.select(F.col("leader").alias("sid")).unionByName(pairs.select(F.col("member").alias("sid"))).unionByName(long.select("sid")).distinct()
-    wanted = wanted.join(classes.select("sid", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "sid")
+    wanted = saved(wanted.join(classes.select("sid", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "sid"), "wanted")
     passing = spark.sparkContext.broadcast(digest_filter(wanted.select(F.col("_digest").alias("digest"))))
     values = docs.mapInArrow(_set_values(size, passing), "doc_id long, digest long, values binary")
     # Repeated rows give a set twice, which a run does not mind.
@@ -490,7 +492,7 @@ def _linked(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS) -
     cross = known.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "position", "sid").mapInArrow(_cross_pairs(percent), _PAIR)
     rest = cross.select(F.col("other").alias("leader"), F.col("sid").alias("member")).distinct().join(pairs, ["leader", "member"], "left_anti")
     links = saved(links.unionByName(_links(_in_runs(_pruned(rest, classes, percent)), sets, percent)), "links")
-    discard(tried, pairs, sets, runs)
+    discard(tried, pairs, wanted, sets, runs)
 
     final = components(links)
     named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("high", "low", "least", F.coalesce("component", "sid").alias("component"))

@@ -13,9 +13,9 @@ earlier.  Words covered by repeats are removed; windows are judged on the input.
    its segments are cut into single windows, dealt by their own hash.
 3. A shard indexes its distinct segments (suffix array, BWT, wavelet matrix) and
    streams them through backward search.  Where the matching statistic reaches the
-   window, all places of the window are one run of the suffix array, and the
-   earliest of them is the original.  A segment that equals an earlier one is a
-   repeat as a whole.
+   window and its interval holds more than one suffix, all places of the window are
+   one run of the suffix array, and the earliest of them is the original.  A segment
+   that equals an earlier one is a repeat as a whole, by its hash.
 4. The removed spans go back to their documents.
 
 Word identity is a 64-bit hash.  Defined results: null text has no words; rows
@@ -42,6 +42,9 @@ ANCHOR = 8
 #: Symbols indexed together; a shard is cut at the next anchor beyond.
 SHARD_SYMBOLS = 1_500_000
 _LOWEST = -(1 << 63)
+#: Segments that a task remembers, about 300 bytes each.  What it has forgotten goes to
+#: the shard once more and is found equal there.
+REMEMBERED = 500_000
 
 
 def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,6 +132,8 @@ def _scan_segments(window: int) -> Callable:
                 size = last - first + window
                 begin = w.first[row] + first
                 content = span_sequence_hashes(w.hash, begin, size)
+                if len(least) > REMEMBERED:
+                    least.clear()
                 bodies: list[bytes | None] = []
                 doc, sure = keys[b + row], np.zeros(len(row), bool)
                 for k, (key, when) in enumerate(zip(zip(value.tolist(), content.tolist(), strict=True), zip(doc.tolist(), first.tolist(), strict=True), strict=True)):
@@ -204,9 +209,20 @@ class _Shard:
         part = np.searchsorted(index.begin, first, side="right") - 1
         shift = rows[part, 2] - index.begin[part]
         out = np.stack([rows[part, 0], rows[part, 1], first + shift, last + shift + self.window], axis=1)
-        if self.more:
-            extra = [np.concatenate([out[k, :1], [digest], out[k, 2:]]) for segment, digest in self.more for k in np.flatnonzero(part == segment)]
-            out = np.concatenate([out, *(x[None] for x in extra)])
+        if self.more:  # ``part`` is in order
+            segment, digest = np.array(self.more, np.int64).T
+            low, high = np.searchsorted(part, segment, side="left"), np.searchsorted(part, segment, side="right")
+            n = high - low
+            extra = out[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
+            extra[:, 1] = np.repeat(digest, n)
+            out = np.concatenate([out, extra])
+        return out
+
+    def next(self) -> _Shard:
+        """The shard after this one, with the other texts of segments yet to come."""
+        out, closed = _Shard(self.window), len(self.bodies)
+        out.more = [(k - closed, digest) for k, digest in self.more if k >= closed]
+        self.more = [(k, digest) for k, digest in self.more if k < closed]
         return out
 
 
@@ -266,9 +282,10 @@ def _search_shards(window: int) -> Callable:
                 if cut == done or shard.symbols + 8 * (cut - begin) >= SHARD_SYMBOLS:
                     shard.add(bodies[begin:cut], originals[begin:cut][:, [2, 3, 4]])
                     begin = cut
-                if shard.symbols >= SHARD_SYMBOLS and originals[cut, 0] != originals[cut - 1, 0] and not shard.more:
+                if shard.symbols >= SHARD_SYMBOLS and originals[cut, 0] != originals[cut - 1, 0]:
+                    after = shard.next()
                     yield _spans_batch(shard.spans())
-                    shard = _Shard(window)
+                    shard = after
             head, body = originals[-1], bodies[-1]
         if head is not None:
             shard.add([body], head[None, [2, 3, 4]])
