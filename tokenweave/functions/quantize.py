@@ -42,35 +42,61 @@ def unpack_codes(packed: np.ndarray, dim: int, width: int) -> np.ndarray:
     return (bits.astype(np.int16) << np.arange(width, dtype=np.int16)).sum(axis=2)
 
 
+#: Rows swept at a time.
+SWEEP_ROWS = 64
+
+
 def best_rescale(magnitude: np.ndarray, ex_bits: int) -> np.ndarray:
     """For each row of |component| / norm, the factor t whose quantised code has
     the largest cosine with the row.
 
     As t grows, component i moves to its next level at t = level / a_i.  All such
     moves of a row, in order of (t, dimension), are one sequence, and numerator and
-    squared denominator of the cosine are running sums along it.
+    squared denominator of the cosine are running sums along it.  The sequences of
+    many rows are the rows of one matrix, filled up with moves that never come.
     """
-    top = (1 << ex_bits) - 1
     out = np.empty(len(magnitude))
-    for k, a in enumerate(magnitude):
-        end = (top + 10) / a.max()
-        start = np.floor(end * TIGHT_START[ex_bits] * a + EPSILON)
-        levels = np.arange(1, top + 1)
-        level = np.concatenate([start + 1, np.broadcast_to(levels, (len(a), top)).ravel()])
-        dim = np.concatenate([np.arange(len(a)), np.repeat(np.arange(len(a)), top)])
-        with np.errstate(divide="ignore"):
-            t = level / a[dim]
-        # The first move of a dimension is taken in any case, later ones up to the top level and the end.
-        use = np.ones(len(t), bool)
-        use[len(a) :] = (level[len(a) :] > start[dim[len(a) :]] + 1) & (t[len(a) :] < end)
-        t, level, dim = t[use], level[use], dim[use]
-        order = np.lexsort((dim, t))
-        num = ((start + 0.5) * a).sum() + np.cumsum(a[dim[order]])
-        den = len(a) / 4 + (start * start + start).sum() + np.cumsum(2 * level[order])
-        out[k] = t[order][np.argmax(num / np.sqrt(den))]
+    for b in range(0, len(magnitude), SWEEP_ROWS):
+        out[b : b + SWEEP_ROWS] = _swept(magnitude[b : b + SWEEP_ROWS], ex_bits)
     return out
 
 
+def _swept(a: np.ndarray, ex_bits: int) -> np.ndarray:
+    top = (1 << ex_bits) - 1
+    rows, dims = a.shape
+    end = (top + 10) / a.max(axis=1, keepdims=True)
+    start = np.floor(end * TIGHT_START[ex_bits] * a + EPSILON)
+    # The first move of a dimension is taken in any case, later ones up to the top level and the end.
+    last = np.minimum(top, np.floor(end * a) + 1)
+    count = np.maximum(last - start, 1).astype(np.int64).ravel()
+    place = np.repeat(np.arange(rows * dims), count)
+    step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+    level = start.ravel()[place] + 1 + step
+    with np.errstate(divide="ignore"):
+        t = level / a.ravel()[place]
+    use = (step == 0) | (t < end.ravel()[place // dims])
+    t, level, place = t[use], level[use], place[use]
+    row = place // dims
+    length = np.bincount(row, minlength=rows)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    moves = np.full((rows, int(length.max())), np.inf)
+    moves[row, column] = t
+    # Columns come by dimension, so a stable order is the order of (t, dimension); it
+    # is only needed where two moves come at one time.
+    order = np.argsort(moves, axis=1)
+    timed = np.take_along_axis(moves, order, 1)
+    ties = np.flatnonzero(((timed[:, 1:] == timed[:, :-1]) & np.isfinite(timed[:, 1:])).any(axis=1))
+    order[ties] = np.argsort(moves[ties], axis=1, kind="stable")
+    gain, cost = np.zeros_like(moves), np.zeros_like(moves)
+    gain[row, column], cost[row, column] = a.ravel()[place], 2 * level
+    num = ((start + 0.5) * a).sum(axis=1, keepdims=True) + np.cumsum(np.take_along_axis(gain, order, 1), axis=1)
+    den = dims / 4 + (start * start + start).sum(axis=1, keepdims=True) + np.cumsum(np.take_along_axis(cost, order, 1), axis=1)
+    cosine = num / np.sqrt(den)
+    cosine[np.arange(moves.shape[1]) >= length[:, None]] = -np.inf
+    best = np.take_along_axis(order, cosine.argmax(axis=1)[:, None], 1)
+    return np.take_along_axis(moves, best, 1)[:, 0]
+
+
 def ex_codes(rotated: np.ndarray, ex_bits: int) -> np.ndarray:
     """(n, P) codes of ``ex_bits`` bits of the magnitudes; mirrored where negative."""
     a = np.abs(rotated) / np.linalg.norm(rotated, axis=1, keepdims=True)

@@ -18,6 +18,15 @@ TABLES = ("docs", "centroids", "postings", "doc_codes")
 QUERY_BLOCK = 1024
 
 
+def _postings(encoded: DataFrame) -> DataFrame:
+    return B.postings(encoded).select("cluster_id", "cluster_position", "token_id", "doc_id", "code1", "f1")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @dataclass
 class MultiVectorIndex:
     docs: DataFrame
@@ -26,10 +35,16 @@ class MultiVectorIndex:
     doc_codes: DataFrame
     meta: dict
     options: SearchOptions
+    #: Tokens with their codes, of an index that was built here and not loaded.
+    encoded: DataFrame | None = None
 
     @staticmethod
     def build(tokens: DataFrame, doc_lens: DataFrame, n_clusters: int, ex_bits: int, options: SearchOptions | None = None, padded_dim: int = PADDED_DIM, seed: int = SEED) -> MultiVectorIndex:
-        """tokens (token_id, embedding), numbered in document order; doc_lens (doc_id, doc_len)."""
+        """tokens (token_id, embedding), numbered in document order; doc_lens (doc_id, doc_len).
+
+        Tables are plans until ``save`` runs them.  Searches before that encode the
+        tokens anew; ``stored`` saves the index and gives the loaded one.
+        """
         how = BuildOptions(n_clusters, ex_bits, padded_dim, seed)
         options = options or SearchOptions()
         stats = B.validate(tokens, doc_lens, how)
@@ -38,9 +53,8 @@ class MultiVectorIndex:
         plain = B.sample_centroids(tokens, n_clusters, seed)
         centroids = B.rotated(plain, padded_dim, seed, ["cluster_id", "token_id"])
         encoded = B.encode(B.assign_nearest(owned, plain), how)
-        posted = B.postings(encoded)
         meta = {"n": stats["n_tokens"], "d": stats["dim_most"], "padded_dim": padded_dim, "n_clusters": n_clusters, "ex_bits": ex_bits, "seed": seed, "format_version": FORMAT_VERSION}
-        return MultiVectorIndex(docs, centroids, posted.select("cluster_id", "cluster_position", "token_id", "doc_id", "code1", "f1"), B.document_codes(encoded), meta, options)
+        return MultiVectorIndex(docs, centroids, _postings(encoded), B.document_codes(encoded), meta, options, encoded)
 
     def search(self, queries: DataFrame, k: int = 100) -> DataFrame:
         """query_id, rank, doc_id, score for queries (query_id, q_pos, embedding)."""
@@ -79,16 +93,25 @@ class MultiVectorIndex:
         if not self.meta["n"]:
             raise ValueError("an empty index cannot be saved")
         spark = self.docs.sparkSession
-        jvm = spark.sparkContext._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
-        mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(mark, True)
-        for name in TABLES:
-            table = getattr(self, name)
+        _remove(spark, f"{path}/meta")
+        tables = {name: getattr(self, name) for name in TABLES}
+        if self.encoded is not None:
+            # Every token is encoded once; postings and document codes come from the files.
+            self.encoded.write.mode("overwrite").parquet(f"{path}/encoded")
+            encoded = spark.read.parquet(f"{path}/encoded")
+            tables |= {"postings": _postings(encoded), "doc_codes": B.document_codes(encoded)}
+        for name, table in tables.items():
             if name == "postings":
                 table = table.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id", "token_id")
             table.write.mode("overwrite").parquet(f"{path}/{name}")
+        _remove(spark, f"{path}/encoded")
         spark.createDataFrame([(json.dumps(self.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
+    def stored(self, path: str) -> MultiVectorIndex:
+        """Save the index and load it, so that searches read its tables."""
+        self.save(path)
+        return MultiVectorIndex.load(self.docs.sparkSession, path, self.options)
+
     @staticmethod
     def load(spark: SparkSession, path: str, options: SearchOptions | None = None, padded_dim: int | None = None) -> MultiVectorIndex:
         options = options or SearchOptions()

@@ -186,25 +186,51 @@ def token_scores(refined: DataFrame, encoded: DataFrame, shared, dim: int) -> Da
     return met.mapInArrow(run, f"{kinds}, q_pos int, score double")
 
 
+#: Document tokens decoded and scored at a time.
+TOKENS_AT_ONCE = 16_384
+
+
+def _runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to ``most``, or single larger ones."""
+    total, b = np.cumsum(size), 0
+    while b < len(size):
+        before = int(total[b - 1]) if b else 0
+        e = max(b + 1, int(np.searchsorted(total, before + most, side="right")))
+        yield b, e
+        b = e
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """A binary column's values end to end."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[int(offsets[0]) : int(offsets[-1])]
+
+
 def _maxsim(shared, dim: int, ex_bits: int | None) -> Callable:
-    """Score of whole documents; ``ex_bits`` None: by one-bit codes."""
+    """Score of whole documents; ``ex_bits`` None: by one-bit codes.  The documents of
+    a query are decoded together and meet it in one product."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrices = shared.value
         for batch in batches:
-            query = batch.column(0).to_pylist()
-            factors, codes = batch.column(3), batch.column(2)
+            query = batch.column(0).to_numpy(zero_copy_only=False)
             out = np.zeros(batch.num_rows)
-            for k, q in enumerate(query):
+            for q in np.unique(query).tolist():
                 x, one, full = matrices[q]
-                f = np.array(factors[k].as_py())
-                if ex_bits is None:
-                    bits = quantize.unpack_words(np.array(codes[k].as_py()).reshape(len(f), -1), dim)
-                    score = one_bit_scores(bits, f, x, one)
-                else:
-                    code = quantize.unpack_codes(np.frombuffer(codes[k].as_py(), np.uint8).reshape(len(f), -1), dim, ex_bits + 1)
-                    score = (code @ x.T - full[None, :]) * f[:, None]
-                out[k] = score.max(axis=0).sum()
+                own = np.flatnonzero(query == q)
+                size = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)[own]
+                for b, e in _runs(size, TOKENS_AT_ONCE):
+                    at = pa.array(own[b:e])
+                    f = batch.column(3).take(at).flatten().to_numpy(zero_copy_only=False)
+                    codes = batch.column(2).take(at)
+                    if ex_bits is None:
+                        words = codes.flatten().to_numpy(zero_copy_only=False)
+                        score = one_bit_scores(quantize.unpack_words(words.reshape(len(f), -1), dim), f, x, one)
+                    else:
+                        code = quantize.unpack_codes(_bytes(codes).reshape(len(f), -1), dim, ex_bits + 1)
+                        score = (code @ x.T - full[None, :]) * f[:, None]
+                    heads = np.cumsum(size[b:e]) - size[b:e]
+                    out[own[b:e]] = np.maximum.reduceat(score, heads).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["query_id", "doc_id", "score"])
 
     return run

@@ -68,7 +68,5 @@ class BuildOptions:
             raise ValueError("embeddings differ in dimension")
         if not self.least_dim <= dim_least <= self.padded_dim:
             raise ValueError(f"dimension must be between {self.least_dim} and {self.padded_dim}")
-        if n_tokens > 2**31 - 1:
-            raise ValueError("there are more embeddings than a 32-bit token id can number")
         if self.n_clusters > n_tokens:
             raise ValueError("n_clusters must not exceed the number of embeddings")
