@@ -94,3 +94,54 @@ def log_sum(values):
         return -math.inf
     top = max(values)
     return top + math.log(sum(math.exp(v - top) for v in values))
+
+
+def segmentations(marked, ids, spelled):
+    """All lists of pieces that spell a string; ``spelled`` gives those of a character that is no piece."""
+    if not marked:
+        yield []
+        return
+    if marked[0] not in ids:
+        for rest in segmentations(marked[1:], ids, spelled):
+            yield [*spelled(marked[0]), *rest]
+    for e in range(1, len(marked) + 1):
+        if marked[:e] in ids:
+            for rest in segmentations(marked[e:], ids, spelled):
+                yield [ids[marked[:e]], *rest]
+
+
+def lattice_scores(rows, held, logp, ids, spelled, rounds=2, prior=0.01, tau=2000.0):
+    """Natural log probability of each text (one latent class), from (id, text) rows."""
+    texts = [(held(d), [w.decode() for w in words(t, True)]) for d, t in rows]
+    count = Counter(w for h, ws in texts if not h for w in ws)
+    docs = sum(not h for h, _ in texts)
+    paths = {w: list(segmentations("▁" + w, ids, spelled)) for _, ws in texts for w in ws}
+    for _ in range(rounds):
+        weight = [prior if x > -math.inf else 0.0 for x in logp]
+        for w in count:
+            each = [math.exp(sum(logp[i] for i in p)) for p in paths[w]]
+            for p, x in zip(paths[w], each, strict=True):
+                for i in p:
+                    weight[i] += x / sum(each)
+        total = sum(weight)
+        logp = [math.log(x / total) if x else -math.inf for x in weight]
+    n, v = sum(count.values()) + docs, len(count) + 1
+    once, twice = (max(sum(c == k for c in count.values()), k == 1) for k in (1, 2))
+    d = min(max(once / (once + 2 * twice), 0.1), 0.9)
+    pieces = {w: math.exp(log_sum([sum(logp[i] for i in p) for p in paths[w]])) for w in paths}
+    arc = {w: max(count[w] - d, 0) for w in paths}
+    common = {w: arc[w] / n + d * v / n * pieces[w] for w in paths}
+    below = {w: 0.1 * arc[w] / (n - d * v) + 0.9 * pieces[w] for w in paths}
+    own = {w: arc[w] / n + d * v / n * below[w] for w in paths}
+    ends = (docs - d) / n, (docs - d) / n + d * v / n * 0.1 * (docs - d) / (n - d * v)
+    out = []
+    for _, ws in texts:
+        kinds = []
+        for share, end, p in zip((1, docs + 1), ends, (common, own), strict=True):
+            seen, value = Counter(), math.log(share / (docs + 2)) + math.log(tau * end / (tau + len(ws)))
+            for t, w in enumerate(ws):
+                value += math.log((tau * p[w] + seen[w]) / (tau + t))
+                seen[w] += 1
+            kinds.append(value)
+        out.append(log_sum(kinds))
+    return out

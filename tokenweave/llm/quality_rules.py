@@ -167,15 +167,22 @@ def _best_test(x: np.ndarray, bad: np.ndarray, names: list[str]) -> tuple[float,
     return best, found
 
 
-def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 12, max_tests: int = 4, least_precision: float = 0.9, seed: int = 1) -> list[Rule]:
-    """Sequential covering with pruning; x is (rows, ratios), bad marks rejects."""
+def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], max_tests: int = 4, least_precision: float = 0.9, splits: int = 3, seed: int = 1) -> list[Rule]:
+    """Sequential covering with pruning; x is (rows, ratios), bad marks rejects.
+
+    A rule is grown on two thirds of the rows and must hold its precision on the
+    rest.  The list ends when rules from ``splits`` splits in a row did not, or
+    fewer than three rejects are left.
+    """
     rng = np.random.default_rng(seed)
     rules: list[Rule] = []
     x, bad = np.asarray(x, float), np.asarray(bad, bool)
-    while len(rules) < max_rules and bad.sum() >= 3:
+    failed = 0
+    while failed < splits and bad.sum() >= 3:
+        failed += 1
         grow = rng.random(len(x)) < 2 / 3
         if not bad[grow].any() or bad[grow].all() or not bad[~grow].any():
-            break
+            continue
         tests, gx, gb = [], x[grow], bad[grow]
         while len(tests) < max_tests and gb.any() and not gb.all():
             _, test = _best_test(gx, gb, names)
@@ -190,12 +197,13 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int
             good, wrong = int(bad[~grow][hit].sum()), int((~bad[~grow])[hit].sum())
             choices.append(((good - wrong) / max(good + wrong, 1), good, -n, n, good / max(good + wrong, 1)))
         if not choices:
-            break
+            continue
         _, good, _, n, precision = max(choices)
         rule = Rule(tuple(tests[:n]))
         hit = rule.holds(x, names)
         if not good or precision < least_precision or bad[hit].mean() < least_precision:
-            break
+            continue
+        failed = 0
         rules.append(Rule(rule.tests, int(hit.sum()), float(bad[hit].mean())))
         x, bad = x[~hit], bad[~hit]
     return rules
