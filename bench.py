@@ -66,9 +66,8 @@ def main() -> None:
     f.index().save(path)
     times["build_and_save"] = round(time.perf_counter() - began, 3)
     from tokenweave.index import MultiVectorIndex
-    from tokenweave.plans.fixture import OPTIONS
 
-    index = MultiVectorIndex.load(spark, path, OPTIONS)
+    index = MultiVectorIndex.load(spark, path, f.options)
     queries = f.queries.cache()
     queries.count()
     began = time.perf_counter()

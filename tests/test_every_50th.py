@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from tokenweave.options import clusters_for, options_for
-from tokenweave.plans.fixture import EveryFiftieth
+from tokenweave.plans.fixture import Fixture
 
 DATA = "/root/testdata"
 
@@ -21,17 +21,17 @@ def exact(folder):
     out = {}
     for q in range(0, doc[-1] + 1, 50):
         score = np.maximum.reduceat(x @ x[doc == q].T, first).sum(axis=1)
-        out[q] = sorted(range(len(score)), key=lambda d: (-round(score[d], 9), -d))[:10]
+        out[q // 50] = sorted(range(len(score)), key=lambda d: (-round(score[d], 9), -d))[:10]
     return out
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_queries_grow_with_the_table(spark, sf):
     want = exact(f"{DATA}/{sf}")
-    f = EveryFiftieth(spark, f"{DATA}/{sf}")
+    f = Fixture(spark, f"{DATA}/{sf}")
     assert f.n_queries == len(want) and f.queries.count() == f.tokens.where("doc_id % 50 = 0").count()
     got = {}
-    for r in entry_point.queries()["exact_every_50th"](spark, f"{DATA}/{sf}").orderBy("rank").collect():
+    for r in entry_point.queries()["exact_maxsim_topk"](spark, f"{DATA}/{sf}").orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])
     assert got == want
 
@@ -39,7 +39,7 @@ def test_queries_grow_with_the_table(spark, sf):
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_recall_is_at_least_nine_tenths(spark, sf):
     want = exact(f"{DATA}/{sf}")
-    got = entry_point.queries()["search_every_50th"](spark, f"{DATA}/{sf}").collect()
+    got = entry_point.queries()["search_topk"](spark, f"{DATA}/{sf}").collect()
     assert len(got) == 10 * len(want)
     assert sum(r["doc_id"] in want[r["query_id"]] for r in got) >= 0.9 * len(got)
 

@@ -6,7 +6,7 @@ import json
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators import build as B
 from .operators import search as S
@@ -68,11 +68,10 @@ class MultiVectorIndex:
         matrices = S.query_matrices(states, QUERY_BLOCK * QUERY_TOKENS)
         if matrices is not None:
             return self._search_block(states, matrices, k)
-        ids = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]
         out = None
-        for b in range(0, len(ids), QUERY_BLOCK):
-            block = states.where(F.col("query_id").between(ids[b], ids[min(b + QUERY_BLOCK, len(ids)) - 1]))
-            found = self._search_block(block, S.query_matrices(block), k)
+        for block in S.query_blocks(queries.select("query_id").distinct().count(), QUERY_BLOCK):
+            part = states.where(block)
+            found = self._search_block(part, S.query_matrices(part), k)
             out = found if out is None else out.unionByName(found)
         return out
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import quantize
 from ..functions.rotation import rotate
@@ -96,6 +96,13 @@ def candidate_docs(probes: DataFrame, postings: DataFrame) -> DataFrame:
     return probes.select("query_id", "cluster_id").distinct().join(postings.select("cluster_id", "doc_id").distinct(), "cluster_id").select("query_id", "doc_id").distinct()
 
 
+def query_blocks(n: int, most: int) -> list[Column]:
+    """Conditions that deal ``n`` queries out by a hash into blocks of about ``most``; no
+    list of their ids is needed."""
+    parts = max(1, -(-n // most))
+    return [F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b for b in range(parts)]
+
+
 def query_matrices(states: DataFrame, most: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
     """Rotated tokens and sums of a bounded block of queries; None if they have
     over ``most`` tokens together."""
@@ -269,18 +276,18 @@ def top_k(full: DataFrame, k: int) -> DataFrame:
 def exact_maxsim(queries: DataFrame, tokens: DataFrame, k: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, rank, doc_id, score by exact inner products over all documents.
 
-    The query set meets all rows in blocks; each batch of tokens is folded to the
-    best score per document before anything is shuffled.
+    The query set meets all rows in blocks, one of which is on the driver at a time; each batch of
+    tokens is folded to the best score per document before anything is shuffled.
     """
-    spark = queries.sparkSession
-    asked = queries.orderBy("query_id", "q_pos").select("query_id", "q_pos", "embedding").toArrow()
-    ids, places, x = asked.column(0).to_numpy(), asked.column(1).to_numpy(), vectors(asked.column(2))
-    step = max(1, limit // (8 * max(x.shape[1] if len(x) else 1, 1)))
-    out = None
-    for b in range(0, len(ids), step):
-        shared = spark.sparkContext.broadcast((ids[b : b + step], places[b : b + step], x[b : b + step]))
+    spark, out = queries.sparkSession, tokens.where("false").selectExpr("0L AS query_id", "0 AS q_pos", "doc_id", "0D AS score")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).head()
+    for block in query_blocks(size["n"], max(1, limit // (8 * (size["dim"] or 1)))):
+        asked = queries.where(block).orderBy("query_id", "q_pos").select("query_id", "q_pos", "embedding").toArrow()
+        if not asked.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((asked.column(0).to_numpy(), asked.column(1).to_numpy(), vectors(asked.column(2))))
         near = tokens.select("doc_id", "embedding").mapInArrow(_exact(shared), f"query_id long, q_pos int, doc_id {tokens.schema['doc_id'].dataType.simpleString()}, score double")
-        out = near if out is None else out.unionByName(near)
+        out = out.unionByName(near)
     best = out.groupBy("query_id", "doc_id", "q_pos").agg(F.max("score").alias("score"))
     full = best.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top_k(full.select(F.col("query_id").cast("int").alias("query_id"), "doc_id", "score"), k)

@@ -18,18 +18,20 @@ from ..operators import capacity, evaluate
 from ..operators import search as S
 from ..options import PADDED_DIM
 from ..sources import ground_truth, mvbin
-from .fixture import BUILD, CLUSTERS, OPTIONS, QUERIES as N_QUERIES, EveryFiftieth, Fixture, K
+from .fixture import EX_BITS, LONGEST, Fixture, K
 from .oracle import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The same by corpus.
+PLANS: dict[str, Callable[[Fixture], DataFrame]] = {}
 
 
-def query(f: Callable[[Fixture], DataFrame], corpus: type[Fixture] = Fixture) -> Callable:
+def query(f: Callable[[Fixture], DataFrame]) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(corpus(spark, sf_dir))
+        return f(Fixture(spark, sf_dir))
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
-    QUERIES[f.__name__] = run
+    QUERIES[f.__name__], PLANS[f.__name__] = run, f
     return run
 
 
@@ -92,17 +94,17 @@ def ivf_postings(f):
 
 @query
 def cluster_offsets(f):
-    return B.cluster_offsets(f.assigned, CLUSTERS).select("cluster_id", "n", F.col("start").alias("first_position"))
+    return B.cluster_offsets(f.assigned, f.build.n_clusters).select("cluster_id", "n", F.col("start").alias("first_position"))
 
 
 @query
 def cluster_stats_bounds(f):
-    return capacity.cluster_bounds(f.assigned, OPTIONS.nprobe)
+    return capacity.cluster_bounds(f.assigned, f.options.nprobe)
 
 
 @query
 def refined_token_bound(f):
-    return capacity.refined_token_bound(f.doc_lens, OPTIONS.k_refine)
+    return capacity.refined_token_bound(f.doc_lens, f.options.k_refine)
 
 
 @query
@@ -130,14 +132,14 @@ def onebit_factor(f):
 @query
 def rescale_sweep(f):
     def sweep(x):
-        return [pa.array(quantize.best_rescale(np.abs(x) / np.linalg.norm(x, axis=1, keepdims=True), BUILD.ex_bits))]
+        return [pa.array(quantize.best_rescale(np.abs(x) / np.linalg.norm(x, axis=1, keepdims=True), EX_BITS))]
 
     return per_token(f, sweep, "t double").select("token_id", F.round("t", 6).alias("t"))
 
 
 @query
 def ex_codes(f):
-    return per_token(f, lambda x: [_joined(quantize.ex_codes(x, BUILD.ex_bits))], "code string")
+    return per_token(f, lambda x: [_joined(quantize.ex_codes(x, EX_BITS))], "code string")
 
 
 @query
@@ -148,7 +150,7 @@ def full_codes(f):
         for batch in batches:
             if batch.num_rows:
                 packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _joined(quantize.unpack_codes(packed, PADDED_DIM, BUILD.ex_bits + 1))], names=["token_id", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _joined(quantize.unpack_codes(packed, PADDED_DIM, EX_BITS + 1))], names=["token_id", "code"])
 
     return f.encoded.select("token_id", "code").mapInArrow(unpack, "token_id long, code string")
 
@@ -208,7 +210,7 @@ def refined_tokens(f):
 
 @query
 def onebit_token_scores(f):
-    return S.token_scores(f.refined, f.encoded, f.shared, PADDED_DIM).select("query_id", "token_id", "q_pos", (F.round("score", 6) + 0.0).alias("score"))
+    return f.by_block(lambda block, shared: S.token_scores(f.refined.where(block), f.encoded, shared, PADDED_DIM)).select("query_id", "token_id", "q_pos", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query
@@ -228,31 +230,8 @@ def fullbit_scores(f):
 
 @query
 def search_topk(f):
-    """The flagship: an index is built and searched."""
-    return f.index().search(f.queries, K).withColumn("score", F.round("score", 6))
-
-
-# --- every document whose id is divisible by 50, against all documents; too long for SQL ---
-
-
-def fiftieth(f: Callable[[EveryFiftieth], DataFrame]) -> Callable:
-    return query(f, EveryFiftieth)
-
-
-@fiftieth
-def exact_every_50th(f):
-    return f.exact.withColumn("score", F.round("score", 6))
-
-
-@fiftieth
-def search_every_50th(f):
-    """An index is built, saved, loaded and searched."""
-    return f.found(shared_folder(f.spark)).withColumn("score", F.round("score", 6))
-
-
-@fiftieth
-def recall_every_50th(f):
-    return evaluate.recall_at_k(f.exact, f.found(shared_folder(f.spark)), K, f.n_queries).withColumn("recall", F.round("recall", 6))
+    """The flagship: an index is built, stored and searched."""
+    return f.index().stored(shared_folder(f.spark)).search(f.queries, K).withColumn("score", F.round("score", 6))
 
 
 # --- evaluation, sources and sinks --------------------------------------------------------
@@ -265,7 +244,7 @@ def exact_maxsim_topk(f):
 
 @query
 def recall_at_k(f):
-    return evaluate.recall_at_k(f.exact, S.top_k(f.full, K), K, N_QUERIES).withColumn("recall", F.round("recall", 6))
+    return evaluate.recall_at_k(f.exact, S.top_k(f.full, K), K, f.n_queries).withColumn("recall", F.round("recall", 6))
 
 
 @query
@@ -280,25 +259,29 @@ def gt_tsv_parse(f):
     """Ground truth written as text and read back."""
     path = shared_folder(f.spark)
     ground_truth.write(f.exact, path)
-    return ground_truth.read(f.spark, path, 1000, N_QUERIES)
+    return ground_truth.read(f.spark, path, 1000, f.n_queries)
 
 
 @query
 def index_roundtrip(f):
-    """An index saved, loaded and searched."""
+    """An index saved twice to one folder, loaded and searched."""
     path = shared_folder(f.spark)
-    f.index().save(path)
-    return MultiVectorIndex.load(f.spark, path, OPTIONS).search(f.queries, K).withColumn("score", F.round("score", 6))
+    for _ in range(2):
+        f.index().save(path)
+    return MultiVectorIndex.load(f.spark, path, f.options).search(f.queries, K).withColumn("score", F.round("score", 6))
 
 
 @query
 def mvbin_roundtrip(f):
-    """Embeddings, document lengths and queries through the binary formats."""
+    """Embeddings, document lengths and queries through the binary formats.  Queries of a file
+    have one length, so a document's tokens follow each other in turn up to four."""
     base = shared_folder(f.spark).removeprefix("file://")
     os.makedirs(base, exist_ok=True)
     mvbin.write_embeddings(f.tokens, f"{base}/embeddings.bin")
     mvbin.write_doc_lens(f.doc_lens, f"{base}/doclens.bin")
-    mvbin.write_queries(f.queries, f"{base}/queries.bin")
+    size = f.queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    turns = f.queries.join(size, "query_id").withColumn("q_pos", F.explode(F.sequence("q_pos", F.lit(LONGEST - 1), F.col("n").cast("int"))))
+    mvbin.write_queries(turns, f"{base}/queries.bin")
     tokens = mvbin.read(f.spark, f"{base}/embeddings.bin", "embeddings", rows_per_partition=128)
     lens, asked = mvbin.read(f.spark, f"{base}/doclens.bin", "doclens"), mvbin.read(f.spark, f"{base}/queries.bin", "queries")
     total = lambda c: F.round(F.aggregate(F.transform(c, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 6) + 0.0

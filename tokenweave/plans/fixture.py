@@ -1,30 +1,29 @@
 """The sample corpus: token embeddings, documents and queries from table ``embeddings``.
 
-Tokens are numbered by (label, vec_id); documents have lengths 3, 2, 4 in turn;
-query q consists of the first 32 tokens of label 2q.  These four queries and their
-small options are a sample that SQL follows step by step; ``EveryFiftieth`` asks for
-every document whose id is divisible by 50.
+Tokens are numbered by (label, vec_id); documents have lengths 3, 2, 4 in turn.  Every
+document whose id is divisible by 50 is a query with all its tokens, so queries grow with the
+table, as do clusters, probes and documents to rescore.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.prefix import numbered
-from ..index import MultiVectorIndex
+from ..index import QUERY_BLOCK, MultiVectorIndex
 from ..operators import build as B
 from ..operators import search as S
-from ..options import PADDED_DIM, QUERY_TOKENS, SEED, BuildOptions, SearchOptions, clusters_for, options_for
+from ..options import PADDED_DIM, SEED, BuildOptions, SearchOptions, clusters_for, options_for
 
 K = 10
-CLUSTERS = 64
-OPTIONS = SearchOptions(nprobe=2, k_refine=40, k_full_bit=16, cagra_itopk_size=150, num_chunks=3)
-BUILD = BuildOptions(n_clusters=CLUSTERS, ex_bits=4)
-QUERIES = 4
-EVERY = 50
+EX_BITS = 4
+#: Documents whose id is a multiple are queries; they have at most LONGEST tokens.
+EVERY, LONGEST = 50, 4
 
 
 @dataclass
@@ -51,15 +50,31 @@ class Fixture:
     def docs(self) -> DataFrame:
         return B.doc_offsets(self.doc_lens)
 
+    @cached_property
+    def n_docs(self) -> int:
+        return self.doc_lens.count()
+
+    @cached_property
+    def build(self) -> BuildOptions:
+        return BuildOptions(clusters_for(self.tokens.count()), EX_BITS)
+
+    @cached_property
+    def options(self) -> SearchOptions:
+        return options_for(self.build.n_clusters, self.n_docs)
+
+    @property
+    def n_queries(self) -> int:
+        return -(-self.n_docs // EVERY)
+
     @cached_property
     def queries(self) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("label").orderBy("token_id")) - 1
-        chosen = self.numbered.where((F.col("label") % 2 == 0) & (F.col("label") < 2 * QUERIES)).withColumn("q_pos", place).where(F.col("q_pos") < QUERY_TOKENS)
-        return chosen.select((F.col("label") / 2).cast("int").alias("query_id"), "q_pos", "embedding")
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("token_id")) - 1
+        query = F.floor(F.col("doc_id") / EVERY).cast("int")
+        return self.tokens.where(F.col("doc_id") % EVERY == 0).select(query.alias("query_id"), place.alias("q_pos"), "embedding")
 
     @cached_property
     def centroids(self) -> DataFrame:
-        return B.sample_centroids(self.tokens, CLUSTERS)
+        return B.sample_centroids(self.tokens, self.build.n_clusters)
 
     @cached_property
     def assigned(self) -> DataFrame:
@@ -71,7 +86,7 @@ class Fixture:
 
     @cached_property
     def encoded(self) -> DataFrame:
-        return B.encode(self.assigned, BUILD)
+        return B.encode(self.assigned, self.build)
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -83,65 +98,43 @@ class Fixture:
 
     @cached_property
     def states(self) -> DataFrame:
-        return S.query_states(self.queries, PADDED_DIM, SEED, BUILD.ex_bits)
+        return S.query_states(self.queries, PADDED_DIM, SEED, EX_BITS)
 
-    @cached_property
-    def shared(self):
-        return self.spark.sparkContext.broadcast(S.query_matrices(self.states))
+    def by_block(self, step: Callable[[Column, Broadcast], DataFrame]) -> DataFrame:
+        """``step`` over blocks of queries, each with its own broadcast."""
+        out = None
+        for block in S.query_blocks(self.n_queries, QUERY_BLOCK):
+            found = step(block, self.spark.sparkContext.broadcast(S.query_matrices(self.states.where(block))))
+            out = found if out is None else out.unionByName(found)
+        return out
 
     @cached_property
     def probes(self) -> DataFrame:
-        return S.probe(self.states, B.rotated(self.centroids, PADDED_DIM, SEED, ["cluster_id"]), OPTIONS.nprobe)
+        return S.probe(self.states, B.rotated(self.centroids, PADDED_DIM, SEED, ["cluster_id"]), self.options.nprobe)
 
     @cached_property
     def partial(self) -> DataFrame:
-        return S.partial_scores(S.probed_tokens(self.probes, self.postings), self.shared, PADDED_DIM)
+        return self.by_block(lambda block, shared: S.partial_scores(S.probed_tokens(self.probes.where(block), self.postings), shared, PADDED_DIM))
 
     @cached_property
     def refined(self) -> DataFrame:
-        return S.refine(self.partial, OPTIONS.k_refine)
+        return S.refine(self.partial, self.options.k_refine)
 
     @cached_property
     def one_bit(self) -> DataFrame:
-        return S.document_scores(self.refined, self.doc_codes, self.shared, PADDED_DIM)
+        return self.by_block(lambda block, shared: S.document_scores(self.refined.where(block), self.doc_codes, shared, PADDED_DIM))
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return S.chunk_quota(self.refined, self.one_bit, OPTIONS.k_full_bit, OPTIONS.num_chunks)
+        return S.chunk_quota(self.refined, self.one_bit, self.options.k_full_bit, self.options.num_chunks)
 
     @cached_property
     def full(self) -> DataFrame:
-        return S.document_scores(self.chosen, self.doc_codes, self.shared, PADDED_DIM, BUILD.ex_bits)
+        return self.by_block(lambda block, shared: S.document_scores(self.chosen.where(block), self.doc_codes, shared, PADDED_DIM, EX_BITS))
 
     @cached_property
     def exact(self) -> DataFrame:
         return S.exact_maxsim(self.queries, self.tokens, K)
 
     def index(self) -> MultiVectorIndex:
-        return MultiVectorIndex.build(self.tokens.select("token_id", "embedding"), self.doc_lens, CLUSTERS, BUILD.ex_bits, OPTIONS)
-
-
-@dataclass
-class EveryFiftieth(Fixture):
-    """The same documents, asked for those whose id is divisible by 50: query_id is the
-    id and all tokens of the document are asked, so the queries grow with the table."""
-
-    @cached_property
-    def queries(self) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("token_id")) - 1
-        return self.tokens.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), place.alias("q_pos"), "embedding")
-
-    @cached_property
-    def n_queries(self) -> int:
-        return self.queries.select("query_id").distinct().count()
-
-    def index(self) -> MultiVectorIndex:
-        """With numbers of clusters, probes and documents that grow with the table."""
-        clusters = clusters_for(self.tokens.count())
-        return MultiVectorIndex.build(self.tokens.select("token_id", "embedding"), self.doc_lens, clusters, BUILD.ex_bits, options_for(clusters, self.doc_lens.count()))
-
-    def found(self, path: str) -> DataFrame:
-        """The first K documents of each query, from an index saved below ``path``."""
-        index = self.index()
-        index.save(path)
-        return MultiVectorIndex.load(self.spark, path, index.options).search(self.queries, K)
+        return MultiVectorIndex.build(self.tokens.select("token_id", "embedding"), self.doc_lens, self.build.n_clusters, EX_BITS, self.options)

@@ -1,6 +1,7 @@
 """The catalogue in DuckDB SQL.
 
-Each query is a SELECT over named steps; a step lists the steps it needs.
+Each query is a SELECT over named steps.  Step ``opt`` derives numbers of clusters, probes and
+documents from the table; a test may put other ones in its place.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ STEPS = {
     "tok": "SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS token_id, label, embedding::DOUBLE[] AS e FROM embeddings",
     "tokens": "SELECT token_id, (3 * (token_id // 9) + CASE WHEN token_id % 9 < 3 THEN 0 WHEN token_id % 9 < 5 THEN 1 ELSE 2 END)::INT AS doc_id, e FROM tok",
     "docs": "SELECT doc_id, count(*)::INT AS doc_len, min(token_id) AS first_token, max(token_id) + 1 AS end_token FROM tokens GROUP BY doc_id",
-    "qtok": "SELECT (label // 2)::INT AS query_id, (row_number() OVER (PARTITION BY label ORDER BY token_id) - 1)::INT AS q_pos, token_id, e FROM tok WHERE label IN (0, 2, 4, 6) QUALIFY q_pos < 32",
-    "centroids": "SELECT (row_number() OVER (ORDER BY key, token_id) - 1)::INT AS cluster_id, token_id, e FROM (SELECT *, (token_id * 2654435761 + 42 * 40503) % 4294967296 AS key FROM tokens ORDER BY key, token_id LIMIT 64)",
+    "opt": "SELECT clusters, least(clusters, greatest(128, (clusters + 1) // 2)) AS nprobe, greatest(3000, (n_docs + 3) // 4) AS k_refine, greatest(300, (n_docs + 19) // 20) AS k_full, 5 AS most_chunks FROM (SELECT least(count(*), greatest(64, (count(*) + 99) // 100)) AS clusters, count(DISTINCT doc_id) AS n_docs FROM tokens)",
+    "qtok": "SELECT (doc_id // 50)::INT AS query_id, (row_number() OVER (PARTITION BY doc_id ORDER BY token_id) - 1)::INT AS q_pos, token_id, e FROM tokens WHERE doc_id % 50 = 0",
+    "centroids": "SELECT (row_number() OVER (ORDER BY key, token_id) - 1)::INT AS cluster_id, token_id, e FROM (SELECT *, (token_id * 2654435761 + 42 * 40503) % 4294967296 AS key FROM tokens ORDER BY key, token_id LIMIT (SELECT clusters FROM opt))",
     "assigned": "SELECT token_id, doc_id, cluster_id FROM (SELECT t.token_id, t.doc_id, c.cluster_id, round(list_inner_product(c.e, c.e) - 2 * list_inner_product(t.e, c.e), 9) AS dist FROM tokens t, centroids c) QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY dist, cluster_id) = 1",
     "z0": "SELECT r, i, ((i + 1) * 2654435761 + (r + 1) * 40503 * 65537 + 42 * 97) % 4294967296 AS z FROM range(3) a(r), range(128) b(i)",
     "z1": "SELECT r, i, (xor(z, z >> 15) * 739982445) % 4294967296 AS z FROM z0",
@@ -34,16 +36,16 @@ STEPS = {
     "full_code": "SELECT token_id, list(c::DOUBLE ORDER BY i) AS c, 1 / sum((c - 15.5) * x) AS fb FROM total GROUP BY token_id",
     "qrot": "SELECT query_id, q_pos, o, list_sum(o) AS total FROM qtok JOIN rot USING (token_id)",
     "crot": "SELECT cluster_id, o FROM centroids JOIN rot USING (token_id)",
-    "probes": "SELECT query_id, q_pos, cluster_id, (row_number() OVER (PARTITION BY query_id, q_pos ORDER BY dist, cluster_id) - 1)::INT AS rank FROM (SELECT query_id, q_pos, cluster_id, round(list_inner_product(c.o, c.o) - 2 * list_inner_product(q.o, c.o), 9) AS dist FROM qrot q, crot c) QUALIFY rank < 2",
+    "probes": "SELECT query_id, q_pos, cluster_id, (row_number() OVER (PARTITION BY query_id, q_pos ORDER BY dist, cluster_id) - 1)::INT AS rank FROM (SELECT query_id, q_pos, cluster_id, round(list_inner_product(c.o, c.o) - 2 * list_inner_product(q.o, c.o), 9) AS dist FROM qrot q, crot c) QUALIFY rank < (SELECT nprobe FROM opt)",
     "cand": "SELECT DISTINCT query_id, doc_id FROM probes JOIN assigned USING (cluster_id)",
     "best1": "SELECT query_id, doc_id, q_pos, greatest(0, max((list_inner_product(o, b) - 0.5 * total) * f1)) AS s FROM probes JOIN assigned USING (cluster_id) JOIN onebit USING (token_id) JOIN qrot USING (query_id, q_pos) GROUP BY ALL",
     "part": "SELECT query_id, doc_id, sum(s) AS score FROM best1 GROUP BY ALL",
-    "refined": "SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1)::INT AS prank FROM part QUALIFY prank < 40",
+    "refined": "SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1)::INT AS prank FROM part QUALIFY prank < (SELECT k_refine FROM opt)",
     "tok1": "SELECT query_id, doc_id, token_id, q_pos, (list_inner_product(o, b) - 0.5 * total) * f1 AS score FROM refined JOIN tokens USING (doc_id) JOIN onebit USING (token_id) JOIN qrot USING (query_id)",
     "doc1": "SELECT query_id, doc_id, sum(m) AS score FROM (SELECT query_id, doc_id, q_pos, max(score) AS m FROM tok1 GROUP BY ALL) GROUP BY ALL",
     "sized": "SELECT query_id, doc_id, prank, score, count(*) OVER (PARTITION BY query_id) AS n FROM refined JOIN doc1 USING (query_id, doc_id)",
-    "shares": "SELECT *, least(n, 16) AS top, least(n, 3) AS chunks, ceil(n / least(n, 3)) AS width FROM sized",
-    "seen": "SELECT *, row_number() OVER (PARTITION BY query_id, c ORDER BY round(score, 9) DESC, prank) AS place FROM shares, range(3) r(c) WHERE c < chunks AND prank < (c + 1) * width",
+    "shares": "SELECT sized.*, least(n, k_full) AS top, least(n, most_chunks) AS chunks, ceil(n / least(n, most_chunks)) AS width FROM sized, opt",
+    "seen": "SELECT *, row_number() OVER (PARTITION BY query_id, c ORDER BY round(score, 9) DESC, prank) AS place FROM shares, range(5) r(c) WHERE c < chunks AND prank < (c + 1) * width",
     "quota": "SELECT DISTINCT query_id, doc_id FROM seen WHERE place <= top * (c + 1) // chunks",
     "docb": "SELECT query_id, doc_id, sum(m) AS score FROM (SELECT query_id, doc_id, q_pos, max((list_inner_product(o, c) - 15.5 * total) * fb) AS m FROM quota JOIN tokens USING (doc_id) JOIN full_code USING (token_id) JOIN qrot USING (query_id) GROUP BY ALL) GROUP BY ALL",
     "top": "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC)::INT AS rank, doc_id, score FROM docb QUALIFY rank <= 10",
@@ -62,8 +64,8 @@ FINAL = {
     "assign_nearest": "SELECT token_id, cluster_id FROM assigned",
     "ivf_postings": "SELECT row_number() OVER (ORDER BY cluster_id, token_id) - 1 AS cluster_position, cluster_id, token_id, doc_id FROM assigned",
     "cluster_offsets": "SELECT cluster_id, n, coalesce(sum(n) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_position FROM (SELECT c.cluster_id, count(a.token_id) AS n FROM centroids c LEFT JOIN assigned a USING (cluster_id) GROUP BY c.cluster_id)",
-    "cluster_stats_bounds": "SELECT (SELECT max(tokens)::BIGINT FROM per_cluster) AS max_cluster, (SELECT sum(tokens)::BIGINT FROM (SELECT tokens FROM per_cluster ORDER BY tokens DESC LIMIT 2)) AS token_bound, (SELECT sum(docs)::BIGINT FROM (SELECT docs FROM per_cluster ORDER BY docs DESC LIMIT 2)) AS doc_bound",
-    "refined_token_bound": "SELECT sum(doc_len)::BIGINT AS token_bound FROM (SELECT doc_len FROM docs ORDER BY doc_len DESC LIMIT 40)",
+    "cluster_stats_bounds": "SELECT (SELECT max(tokens)::BIGINT FROM per_cluster) AS max_cluster, (SELECT sum(tokens)::BIGINT FROM (SELECT tokens FROM per_cluster ORDER BY tokens DESC LIMIT (SELECT nprobe FROM opt))) AS token_bound, (SELECT sum(docs)::BIGINT FROM (SELECT docs FROM per_cluster ORDER BY docs DESC LIMIT (SELECT nprobe FROM opt))) AS doc_bound",
+    "refined_token_bound": "SELECT sum(doc_len)::BIGINT AS token_bound FROM (SELECT doc_len FROM docs ORDER BY doc_len DESC LIMIT (SELECT k_refine FROM opt))",
     "rotate_tokens": "SELECT token_id, i::INT AS dim, round(x, 6) + 0.0 AS value FROM rot3",
     "onebit_codes": "SELECT token_id, "
     + ", ".join(f"sum(CASE WHEN x > 0 AND i // 32 = {k} THEN 1::BIGINT << (i % 32)::INT ELSE 0 END)::BIGINT AS w{k}" for k in range(4))
@@ -89,12 +91,12 @@ FINAL = {
     "search_topk": TOP,
     "index_roundtrip": TOP,
     "exact_maxsim_topk": "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM exact",
-    "recall_at_k": "SELECT 10 AS k, round(count(*) / 40, 6) AS recall FROM exact e SEMI JOIN top t ON e.query_id = t.query_id AND e.doc_id = t.doc_id",
+    "recall_at_k": "SELECT 10 AS k, round(count(*) / (10 * (SELECT count(DISTINCT query_id) FROM qtok)), 6) AS recall FROM exact e SEMI JOIN top t ON e.query_id = t.query_id AND e.doc_id = t.doc_id",
     "latency_percentiles": "SELECT round(avg(value), 6) AS mean, round(min(value), 6) AS min, "
     + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{round(100 * q)}" for q in (0.5, 0.9, 0.95, 0.99))
     + ", round(max(value), 6) AS max, round(stddev_pop(value), 6) AS stddev FROM events",
     "gt_tsv_parse": "SELECT query_id, doc_id::BIGINT AS doc_id, rank FROM exact",
-    "mvbin_roundtrip": "SELECT 'token' AS kind, token_id AS id, 0 AS place, round(list_sum(e), 6) + 0.0 AS value FROM tok UNION ALL SELECT 'doc', doc_id::BIGINT, 0, doc_len::DOUBLE FROM docs UNION ALL SELECT 'query', query_id::BIGINT, q_pos, round(list_sum(e), 6) + 0.0 FROM qtok",
+    "mvbin_roundtrip": "SELECT 'token' AS kind, token_id AS id, 0 AS place, round(list_sum(e), 6) + 0.0 AS value FROM tok UNION ALL SELECT 'doc', doc_id::BIGINT, 0, doc_len::DOUBLE FROM docs UNION ALL SELECT 'query', query_id::BIGINT, p::INT, round(list_sum(e), 6) + 0.0 FROM qtok JOIN (SELECT query_id, count(*) AS n FROM qtok GROUP BY query_id) USING (query_id), range(4) r(p) WHERE p % n = q_pos",
 }
 
 
@@ -102,19 +104,19 @@ def _needs(sql: str) -> list[str]:
     return [name for name in STEPS if re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", sql)]
 
 
-def assemble(sql: str) -> str:
-    """``sql`` with the steps it needs, in order."""
-    found: list[str] = []
+def assemble(sql: str, **other: str) -> str:
+    """``sql`` with the steps it needs, in order; ``other`` steps replace those above."""
+    steps, found = STEPS | other, []
 
     def visit(text: str) -> None:
         for name in _needs(text):
             if name not in found:
-                visit(STEPS[name])
+                visit(steps[name])
                 found.append(name)
 
     visit(sql)
     # Steps that several others read are computed once.
-    return ("WITH " + ", ".join(f"{name} AS MATERIALIZED ({STEPS[name]})" for name in found) + " " if found else "") + sql
+    return ("WITH " + ", ".join(f"{name} AS MATERIALIZED ({steps[name]})" for name in found) + " " if found else "") + sql
 
 
 ORACLE_SQL = {name: assemble(sql) for name, sql in FINAL.items()}
