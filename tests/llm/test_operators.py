@@ -473,6 +473,23 @@ def test_sharding_is_even_and_keeps_copies_together(make):
     assert cut <= 5
 
 
+def test_links_of_copies_are_trees_of_bounded_degree(spark):
+    keys = [k for k, n in (("a", 3000), ("b", 40), ("c", 2), ("d", 1)) for _ in range(n)] + [None] * 5
+    nodes = spark.createDataFrame([(7 * x, k) for x, k in enumerate(keys)], "node long, key string")
+    links = [tuple(r) for r in sharding.copy_links(nodes, len(keys), fan=32).collect()]
+    up, near = dict(links), {}
+    assert len(up) == len(links) == 2999 + 39 + 1
+    for a, b in links:
+        assert keys[a // 7] == keys[b // 7] and b < a
+        near[b] = near.get(b, 0) + 1
+    assert max(near.values()) < 3 * 2 * 32
+    for x, k in enumerate(keys):
+        end = 7 * x
+        while end in up:
+            end = up[end]
+        assert k is None or end == 7 * keys.index(k)
+
+
 def test_sharding_edges(make):
     assert sharding.shard_documents(make([]), shards=4).count() == 0
     _, shards = _sharded(sharding.shard_documents(make([(1, "a"), (1, "a"), (None, None)]), shards=24))

@@ -19,10 +19,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import saved
+from .store import discard, saved
 
 #: Buckets of a two-level rank; the offset table has this many rows a shard.
 BUCKETS = 256
+#: Links of a copy at each level of its group's tree.
+FAN = 1024
 
 
 def _bucket(key: Column, node: Column) -> Column:
@@ -44,15 +46,27 @@ def ranked(df: DataFrame, group: str, bucket: Column, order: list[Column], out:
     return df.join(F.broadcast(offset), [group, "_bucket"]).withColumn(out, F.col("_offset") + F.col("_inner")).drop("_bucket", "_inner", "_offset")
 
 
-def copy_links(nodes: DataFrame, block: int) -> DataFrame:
-    """(a, b) links of nodes (node, key): equal keys form stars around their least
-    node; a group of over ``block`` members forms several stars whose centres are linked."""
-    groups = nodes.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
-    member = nodes.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(max(1, block)))))
-    parts = member.groupBy("key", "part").agg(F.min("node").alias("hub"), F.first("centre").alias("centre"))
-    spokes = member.join(parts.drop("centre"), ["key", "part"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    bridges = parts.select(F.col("hub").alias("a"), F.col("centre").alias("b"))
-    return spokes.unionByName(bridges).where("a <> b")
+def copy_links(nodes: DataFrame, rows: int, fan: int = FAN) -> DataFrame:
+    """(a, b) links of nodes (node, key): equal keys form a tree whose root is their least node.
+
+    Level by level, a key's nodes are dealt out by a hash and linked with the least of
+    their part; only those go on to the next level, which has a ``fan``-th of the parts and
+    one at last.  So a node has about ``fan`` neighbours a level however many of the ``rows`` share
+    its key, a small group is one star, and no task holds a whole group.
+    """
+    part, levels, links = 1, [], None
+    while part * fan < rows:
+        part *= fan
+    level = nodes.where(F.col("key").isNotNull()).select("node", "key")
+    while part:
+        hub = F.min("node").over(Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(part))))
+        levels.append(saved(level.withColumn("hub", hub), "level"))
+        found = levels[-1].where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        level, part = levels[-1].where("node = hub").select("node", "key"), part // fan
+    links = saved(links, "links")
+    discard(*levels)
+    return links
 
 
 def quotas(n: int, shards: int, load: dict[int, int]) -> dict[int, int]:
@@ -71,13 +85,14 @@ def _map(values: dict[int, int]) -> Column:
 
 
 def propagate(linked: DataFrame, links: DataFrame, n: int, shards: int, rounds: int) -> DataFrame:
-    """linked (node, shard, hub) with shards moved towards neighbours' shards."""
+    """linked (node, shard, hub) with shards moved towards neighbours' shards; of shards with
+    equal votes the one with the least neighbour is asked."""
     both = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     for turn in range(rounds):
         load = _loads(linked)
         free = {s: max(0, n // shards - load.get(s, 0)) for s in range(shards)}
-        seen = both.join(linked.select(F.col("node").alias("b"), F.col("shard").alias("at")), "b").groupBy("a", "at").agg(F.count(F.lit(1)).alias("votes"))
-        best = seen.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("votes", "at")).alias("best"))
+        seen = both.join(linked.select(F.col("node").alias("b"), F.col("shard").alias("at")), "b").groupBy("a", "at").agg(F.count(F.lit(1)).alias("votes"), (-F.min("b")).alias("first"))
+        best = seen.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("votes", "first", "at")).alias("best"))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         own = seen.select(F.col("a").alias("node"), F.col("at").alias("shard"), F.col("votes").alias("own"))
         state = linked.join(best, "node", "left").join(own, ["node", "shard"], "left").join(least, "node", "left")
@@ -91,7 +106,7 @@ def propagate(linked: DataFrame, links: DataFrame, n: int, shards: int, rounds:
     return linked
 
 
-def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
+def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = 24, rounds: int = 7) -> DataFrame:
     """node, shard, slot for nodes (node) and links (a, b).
 
     Row counts of shards are at most one apart; slots are gapless from 0.
@@ -120,13 +135,11 @@ def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = 24, rounds
     return ranked(whole, "shard", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(BUCKETS)), [F.col("node")], "slot")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 7) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: documents with
     equal texts are linked and drawn together."""
     text = F.encode("text", "UTF-8")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), F.md5(text).alias("key"))
+    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"))
     rows = saved(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
-    block = max(2, rows.count() // shards // 4)
-    links = saved(copy_links(rows.select("node", "key"), block), "links")
-    placed = balanced_shards(rows, links, shards, rounds)
+    placed = balanced_shards(rows, copy_links(rows, rows.count()), shards, rounds)
     return rows.join(placed, "node").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
