@@ -57,3 +57,7 @@ def test_best_of():
     score = r.normal(size=(size.sum(), 5))
     want = np.stack([p.max(axis=0) for p in np.split(score, np.cumsum(size)[:-1])])
     assert (S.best_of(score, size) == want).all() and S.best_of(score[:0], size[:0]).shape == (0, 5)
+
+
+def test_chosen_equal_those_by_windows(pruned, joined):
+    assert rows(pruned.chosen) == rows(joined[2])
