@@ -61,3 +61,7 @@ def test_best_of():
 
 def test_chosen_equal_those_by_windows(pruned, joined):
     assert rows(pruned.chosen) == rows(joined[2])
+
+
+def test_one_bit_scores_equal_those_by_joins(pruned, joined):
+    assert rounded(pruned.one_bit) == rounded(joined[1])
