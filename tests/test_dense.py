@@ -79,3 +79,7 @@ def test_recall_reads_the_best_of_each_batch(spark):
     f = Fixture(spark, SF)
     plan = f.exact._jdf.queryExecution().optimizedPlan().toString()
     assert "q_pos" not in plan.split("MapInArrow")[0] and f.exact.count() == K * f.n_queries
+
+
+def test_refined_equal_those_by_windows(pruned, joined):
+    assert rows(pruned.refined) == rows(joined[0])
