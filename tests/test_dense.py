@@ -83,3 +83,8 @@ def test_recall_reads_the_best_of_each_batch(spark):
 
 def test_refined_equal_those_by_windows(pruned, joined):
     assert rows(pruned.refined) == rows(joined[0])
+
+
+def test_refined_tokens_equal_those_by_windows(pruned, joined):
+    of = lambda refined: rows(S.refined_tokens(refined, pruned.tokens))
+    assert of(pruned.refined) == of(joined[0])
