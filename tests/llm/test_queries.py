@@ -180,3 +180,23 @@ def test_propagation_moves_like_a_plain_simulation(spark):
         centre = all(x < (b if a == x else a) for a, b in links if x in (a, b))
         moves = not centre and votes > near[x][start[x]]
         assert got[x] == (best if moves else start[x])
+
+
+def test_op3_classes_are_learned_from_all_training_texts(spark, make, monkeypatch):
+    """Texts beyond the sample change the model: every training word counts in its classes."""
+    r = np.random.default_rng(4)
+    rows = [(d, " ".join(f"w{x}" for x in r.integers(0, 300, 60) + 300 * (d % 2))) for d in range(600)]
+    seen, learn = [], lattice_lm.learned
+
+    def watched(first, sums):
+        found = learn(first, sums)
+        seen.append((found, sums([found], True)[0]))
+        return found
+
+    monkeypatch.setattr(lattice_lm, "learned", watched)
+    got = lattice_lm.lm_scores(make(rows), public_tokenizers.path(PIECES), sample=50)
+    training = [d for d, _ in rows if not held(d)]
+    mixture, sums = seen[0]
+    assert got.count() == 600 and mixture.classes == 2
+    assert math.isclose(sums.size.sum(), len(training)) and math.isclose(sums.count.sum(), 60 * len(training))
+    assert sorted(np.round(sums.size).astype(int)) == sorted(sum(d % 2 == k for d in training) for k in (0, 1))

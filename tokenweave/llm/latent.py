@@ -1,14 +1,15 @@
 """Latent classes of texts: a mixture of word distributions over hashed words.
 
-Fitted on the driver to a bounded sample of texts, by expectation-maximisation.
-No label is read.  The number of classes doubles as long as a part of the
-sample that is kept aside gains by it.
+Fitted to all texts by expectation-maximisation, each round a pass over them; a
+bounded sample gives only the points from which the rounds start.  No label is read.
+The number of classes doubles as long as the fifth of all texts that is kept aside
+gains by it; then all texts count.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,10 @@ BUCKETS = 4096
 #: A doubling must gain so much of log likelihood a word.
 GAIN = 0.02
 ROUNDS, STARTS = 15, 4
+#: Rounds end when none gains so much of log likelihood a word.
+SETTLED = 0.001
+#: One text in so many is kept aside.
+ASIDE = 5
 
 
 def buckets(words: Iterable[bytes], n: int) -> np.ndarray:
@@ -39,23 +44,67 @@ class Mixture:
         """Joint log probability of each text (a row of counts) and class."""
         return x @ self.logp.T + self.prior
 
-    def best(self, bucket: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Class of each text, given the buckets of its words end to end."""
-        out = np.full(len(length), int(self.prior.argmax()))
+    def totals(self, bucket: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """As ``scores``, given the buckets of the texts' words end to end."""
+        out = np.tile(self.prior, (len(length), 1))
         some = np.flatnonzero(length)
         if len(some):
             at = (np.cumsum(length) - length)[some]
-            total = np.stack([np.add.reduceat(row[bucket], at) for row in self.logp], axis=1)
-            out[some] = (total + self.prior).argmax(axis=1)
+            for k, row in enumerate(self.logp):
+                out[some, k] += np.add.reduceat(row[bucket], at)
         return out
 
+    def best(self, bucket: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Class of each text, given the buckets of its words end to end."""
+        return self.totals(bucket, length).argmax(axis=1)
+
 
-def _estimate(x: np.ndarray, weight: np.ndarray) -> Mixture:
-    count = weight.T @ x + 0.1
-    size = weight.sum(axis=0) + 1.0
+@dataclass
+class Sums:
+    """What a round needs of the texts, under one mixture; sums of parts add up."""
+
+    count: np.ndarray  # expected words by class and bucket
+    size: np.ndarray  # expected texts by class
+    told: np.ndarray  # log likelihood and words of texts that count, then of those aside
+
+    @staticmethod
+    def none(classes: int) -> Sums:
+        return Sums(np.zeros((classes, BUCKETS)), np.zeros(classes), np.zeros(4))
+
+    def add(self, mixture: Mixture, bucket: np.ndarray, length: np.ndarray, aside: np.ndarray) -> None:
+        scores = mixture.totals(bucket, length)
+        value = _likelihood(scores)
+        share = np.where(aside[:, None], 0.0, np.exp(scores - value[:, None]))
+        for k in range(mixture.classes):
+            self.count[k] += np.bincount(bucket, np.repeat(share[:, k], length), minlength=BUCKETS)
+        self.size += share.sum(axis=0)
+        self.told += [value[~aside].sum(), length[~aside].sum(), value[aside].sum(), length[aside].sum()]
+
+    def rows(self) -> list[np.ndarray]:
+        return [*self.count, np.concatenate([self.size, self.told])]
+
+    @staticmethod
+    def of(rows: list[np.ndarray]) -> Sums:
+        return Sums(np.stack(rows[:-1]), rows[-1][:-4], rows[-1][-4:])
+
+    def mixture(self) -> Mixture:
+        return _smoothed(self.count, self.size)
+
+    def gain(self, aside: bool = False) -> float:
+        """Log likelihood a word."""
+        value, words = self.told[2:] if aside else self.told[:2]
+        return value / max(words, 1.0)
+
+
+def _smoothed(count: np.ndarray, size: np.ndarray) -> Mixture:
+    count, size = count + 0.1, size + 1.0
     return Mixture(np.log(count / count.sum(axis=1, keepdims=True)), np.log(size / size.sum()))
 
 
+def _estimate(x: np.ndarray, weight: np.ndarray) -> Mixture:
+    return _smoothed(weight.T @ x, weight.sum(axis=0))
+
+
 def _likelihood(scores: np.ndarray) -> np.ndarray:
     top = scores.max(axis=1)
     return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
@@ -82,19 +131,49 @@ def _fit(x: np.ndarray, classes: int) -> Mixture:
     return found
 
 
-def fitted(x: np.ndarray, most: int = 8) -> Mixture:
-    """The mixture for texts given as rows of bucket counts."""
+def starts(x: np.ndarray, most: int = 8) -> list[Mixture]:
+    """Mixtures of 1, 2, 4, ... classes to start from, for texts given as rows of bucket counts."""
     if len(x) < 20:
-        return _estimate(x, np.ones((len(x), 1)))
-    aside = np.arange(len(x)) % 5 == 0
-    words = max(float(x[aside].sum()), 1.0)
-    classes, value = 1, _likelihood(_fit(x[~aside], 1).scores(x[aside])).sum() / words
-    while classes * 2 <= most:
-        more = _likelihood(_fit(x[~aside], classes * 2).scores(x[aside])).sum() / words
-        if more < value + GAIN:
+        return [_estimate(x, np.ones((len(x), 1)))]
+    return [_fit(x, 1 << k) for k in range(most.bit_length())]
+
+
+def _settled(mixtures: list[Mixture], sums: Callable[[list[Mixture], bool], list[Sums]], whole: bool) -> tuple[list[Mixture], list[Sums]]:
+    """Rounds until none gains; the mixtures and the sums under them."""
+    found = sums(mixtures, whole)
+    for _ in range(ROUNDS):
+        better = [f.mixture() for f in found]
+        then = sums(better, whole)
+        gains = [t.gain() - f.gain() for t, f in zip(then, found, strict=True)]
+        mixtures, found = better, then
+        if max(gains) < SETTLED:
             break
-        classes, value = classes * 2, more
-    return _fit(x, classes)
+    return mixtures, found
+
+
+def learned(mixtures: list[Mixture], sums: Callable[[list[Mixture], bool], list[Sums]]) -> Mixture:
+    """The mixture for all texts, from starting points with doubling classes.  ``sums`` passes over the
+    texts, with (``whole``) or without those kept aside."""
+    chosen = 0
+    if len(mixtures) > 1:
+        mixtures, found = _settled(mixtures, sums, False)
+        while chosen + 1 < len(mixtures) and found[chosen + 1].gain(True) >= found[chosen].gain(True) + GAIN:
+            chosen += 1
+    return _settled([mixtures[chosen]], sums, True)[0][0]
+
+
+def fitted(x: np.ndarray, most: int = 8) -> Mixture:
+    """The mixture for texts given as rows of bucket counts."""
+    length = x.sum(axis=1).astype(np.int64)
+    bucket = np.repeat(np.tile(np.arange(x.shape[1]), len(x)), x.ravel().astype(np.int64))
+
+    def sums(mixtures: list[Mixture], whole: bool) -> list[Sums]:
+        out = [Sums.none(m.classes) for m in mixtures]
+        for s, m in zip(out, mixtures, strict=True):
+            s.add(m, bucket, length, (np.arange(len(x)) % ASIDE == 0) & (not whole))
+        return out
+
+    return learned(starts(x, most), sums)
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

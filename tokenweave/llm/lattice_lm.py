@@ -16,15 +16,15 @@ all words sum to one, and every step below keeps that, so scores are log
 probabilities over all texts.
 
 Texts differ in language and kind, so there is a common set of whole-word arcs and
-one for each of a few latent classes (``latent``), found in a bounded sample of
-training texts without reading any label; a training text counts for the class
-that fits it best.  What discounting frees in a class goes to the pieces and, a
+one for each of a few latent classes (``latent``), fitted to all training texts
+without reading any label; a training text counts for the class that fits it best.  What discounting frees in a class goes to the pieces and, a
 tenth of it, to the common arcs.  A text's probability is the mean over the classes
 and the common arcs, weighed by training texts.  Within a text, words that were
 there before gain: with t words before it, a word's probability is
 (tau * P(word) + its count among them) / (tau + t).
 
-Data flow: documents become blocks (word codes and a vocabulary of bounded size);
+Data flow: documents become blocks (word codes and a vocabulary of bounded size), over
+which the rounds of the latent classes pass;
 the vocabularies meet by word, where corpus counts are summed and each distinct word
 is scored once; counts and scores go back to their blocks, packed.  Only the piece
 weights, of the vocabulary's size, are broadcast.
@@ -49,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .latent import Mixture, buckets, fitted, sampled
+from .latent import ASIDE, Mixture, Sums, buckets, learned, sampled, starts
 from .pieces import SPACE, vocabulary
 from .store import saved
 from .textops import chunks
@@ -243,7 +243,7 @@ class Shares:
 
 # --- documents to blocks -------------------------------------------------------------------
 
-_BLOCK = "block long, payload binary, words string, counts binary, docs array<long>"
+_BLOCK = "block long, payload binary, words string"
 
 
 def _packed(parts: list[np.ndarray]) -> bytes:
@@ -263,8 +263,7 @@ _SCORES = ["<u4", "<i8", "<f4"]  # word codes, corpus counts, log probabilities
 
 
 class _Block:
-    def __init__(self, mixture: Mixture):
-        self.mixture = mixture
+    def __init__(self):
         self.code: defaultdict[bytes, int] = defaultdict(int)
         self.code.default_factory = self.code.__len__
         self.ids: list[int | None] = []
@@ -284,35 +283,103 @@ class _Block:
 
     def row(self) -> pa.RecordBatch:
         flat, length = np.concatenate(self.codes), np.array([len(c) for c in self.codes], "<i8")
-        held, classes, size = np.array(self.held), self.mixture.classes, len(self.code)
-        own = np.where(held, classes, self.mixture.best(buckets(self.code, size)[flat], length))
-        counts = np.bincount(np.repeat(own, length) * size + flat, minlength=(classes + 1) * size).reshape(-1, size)[:classes].astype("<i8")
         null = np.array([x is None for x in self.ids])
-        flags = held.astype(np.uint8) | (null.astype(np.uint8) << 1)
+        flags = np.array(self.held).astype(np.uint8) | (null.astype(np.uint8) << 1)
         payload = _packed([np.array([x or 0 for x in self.ids], "<i8"), flags, length, flat.astype("<u4")])
-        docs = np.bincount(own, minlength=classes + 1)[:classes].tolist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([payload], pa.binary()), pa.array(["\n".join(map(bytes.decode, self.code))]), pa.array([counts.tobytes()], pa.binary()), pa.array([docs], pa.list_(pa.int64()))],
-            names=["block", "payload", "words", "counts", "docs"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([payload], pa.binary()), pa.array(["\n".join(map(bytes.decode, self.code))])], names=["block", "payload", "words"])
 
 
-def _blocks(shared) -> Callable:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, held_out, text) to block rows."""
+    block = _Block()
+    for batch in batches:
+        texts = batch.column(2).fill_null("")
+        ids, held = (batch.column(k).to_pylist() for k in range(2))
+        for b, e in chunks(texts):
+            for k, text in enumerate(texts.slice(b, e - b).to_pylist(), b):
+                block.add(ids[k], held[k], text)
+                if block.full():
+                    yield block.row()
+                    block = _Block()
+    if block.ids:
+        yield block.row()
+
+
+# --- latent classes ------------------------------------------------------------------------
+
+#: Words of texts that meet a mixture at a time.
+CLASS_WORDS = 250_000
+
+
+def _texts(payload: bytes, words: str) -> tuple[np.ndarray, ...]:
+    """Of a block: ids, held out, lengths, word codes and the bucket of each code."""
+    ids, flags, length, flat = _unpacked(payload, _PAYLOAD)
+    listed = words.encode().split(b"\n") if words else []
+    return ids, (flags & 1) > 0, length, flat, buckets(listed, len(listed))
+
+
+def _class_sums(shared, whole: bool) -> Callable:
+    """Block rows (payload, words) to rows (part, sums): of each mixture what ``Sums`` holds of
+    all training texts; one text in ``ASIDE`` is kept aside unless ``whole``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixtures: list[Mixture] = shared.value
+        out = [Sums.none(m.classes) for m in mixtures]
+        for batch in batches:
+            for payload, words in zip(batch.column(0), batch.column(1), strict=True):
+                ids, held, length, flat, bucket = _texts(payload.as_py(), words.as_py())
+                training = ~held
+                bucket, ids, length = bucket[flat[np.repeat(training, length)]], ids[training], length[training]
+                aside = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(ASIDE) == 0
+                if whole:
+                    aside[:] = False
+                edge = np.concatenate([[0], np.cumsum(length)])
+                b = 0
+                while b < len(length):
+                    e = max(b + 1, int(np.searchsorted(edge, edge[b] + CLASS_WORDS, side="right")) - 1)
+                    for s, m in zip(out, mixtures, strict=True):
+                        s.add(m, bucket[edge[b] : edge[e]], length[b:e], aside[b:e])
+                    b = e
+        rows = [r for s in out for r in s.rows()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.astype("<f8").tobytes() for r in rows], pa.binary())], names=["part", "sums"])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, "<f8") for x in table.column("sums").to_pylist()], axis=0)
+    return pa.table([table.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+
+def latent_classes(blocks: DataFrame, first: list[Mixture]) -> Mixture:
+    """The mixture of all training texts, by rounds over all blocks."""
+    context = blocks.sparkSession.sparkContext
+
+    def sums(mixtures: list[Mixture], whole: bool) -> list[Sums]:
+        told = blocks.select("payload", "words").mapInArrow(_class_sums(context.broadcast(mixtures), whole), "part int, sums binary")
+        found = {r["part"]: np.frombuffer(bytes(r["sums"]), "<f8") for r in told.groupBy("part").applyInArrow(_added, "part int, sums binary").collect()}  # a row for each class and mixture
+        if not found:
+            return [Sums.none(m.classes) for m in mixtures]
+        out, at = [], 0
+        for m in mixtures:
+            out.append(Sums.of([found[k] for k in range(at, at + m.classes + 1)]))
+            at += m.classes + 1
+        return out
+
+    return learned(first, sums)
+
+
+def _class_docs(shared) -> Callable:
+    """Block rows (payload, words) to rows (kind, docs): training texts by the class that fits best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(shared.value)
+        mixture: Mixture = shared.value
+        docs = np.zeros(mixture.classes, np.int64)
         for batch in batches:
-            texts = batch.column(2).fill_null("")
-            ids, held = (batch.column(k).to_pylist() for k in range(2))
-            for b, e in chunks(texts):
-                for k, text in enumerate(texts.slice(b, e - b).to_pylist(), b):
-                    block.add(ids[k], held[k], text)
-                    if block.full():
-                        yield block.row()
-                        block = _Block(shared.value)
-        if block.ids:
-            yield block.row()
+            for payload, words in zip(batch.column(0), batch.column(1), strict=True):
+                _, held, length, flat, bucket = _texts(payload.as_py(), words.as_py())
+                docs += np.bincount(mixture.best(bucket[flat], length)[~held], minlength=mixture.classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(mixture.classes, dtype=np.int32)), pa.array(docs)], names=["kind", "docs"])
 
     return run
 
@@ -321,20 +388,25 @@ def _count_names(classes: int) -> list[str]:
     return [f"n{k}" for k in range(classes)]
 
 
-def _vocabulary_rows(classes: int) -> Callable:
-    """Block rows (block, words, counts) to (word, block, code, n0, ...)."""
+def _vocabulary_rows(shared) -> Callable:
+    """Block rows (block, payload, words) to (word, block, code, n0, ...): counts in training texts by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixture: Mixture = shared.value
+        classes = mixture.classes
         for batch in batches:
-            for block, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                n = np.frombuffer(counts, "<i8").reshape(classes, -1)
-                if not n.shape[1]:
+            for block, payload, words in zip(*(batch.column(k) for k in range(3)), strict=True):
+                _, held, length, flat, bucket = _texts(payload.as_py(), words.as_py())
+                if not len(bucket):
                     continue
-                listed = pa.array(words.split("\n"), pa.string())
-                for b in range(0, n.shape[1], 50_000):
+                all_words = len(bucket)
+                own = np.where(held, classes, mixture.best(bucket[flat], length))
+                n = np.bincount(np.repeat(own, length) * all_words + flat, minlength=(classes + 1) * all_words).reshape(-1, all_words)[:classes]
+                listed = pa.array(words.as_py().split("\n"), pa.string())
+                for b in range(0, all_words, 50_000):
                     part = n[:, b : b + 50_000]
                     size = part.shape[1]
-                    yield pa.RecordBatch.from_arrays([listed.slice(b, size), pa.array(np.full(size, block)), pa.array(np.arange(b, b + size, dtype=np.int32)), *map(pa.array, part)], names=["word", "block", "code", *_count_names(classes)])
+                    yield pa.RecordBatch.from_arrays([listed.slice(b, size), pa.array(np.full(size, block.as_py())), pa.array(np.arange(b, b + size, dtype=np.int32)), *map(pa.array, part)], names=["word", "block", "code", *_count_names(classes)])
 
     return run
 
@@ -461,21 +533,22 @@ TAU = 2000.0
 def lm_scores(docs: DataFrame, model: str, rounds: int = 2, prior: float = 0.01, tau: float = TAU, sample: int = 2000, most_classes: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
-    Latent classes are found in about ``sample`` training texts; all else is
-    counted over all of them.
+    About ``sample`` training texts give the starting points of the latent classes; the
+    classes, their number and all else are learned from all of them.
     """
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     training = docs.where(~held)
-    mixture = fitted(sampled(training, training.count(), F.col("doc_id"), sample), most_classes)
-    classes = mixture.classes
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(_blocks(spark.sparkContext.broadcast(mixture)), _BLOCK)
+    first = starts(sampled(training, training.count(), F.col("doc_id"), sample), most_classes)
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(_blocks, _BLOCK)
     blocks = saved(blocks, "blocks")
+    mixture = latent_classes(blocks, first)
+    classes, kinds = mixture.classes, spark.sparkContext.broadcast(mixture)
 
     # One exchange: all rows of a word come together, are summed, and one of them is its head.
     names = _count_names(classes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = blocks.select("block", "words", "counts").mapInArrow(_vocabulary_rows(classes), "word string, block long, code int, " + ", ".join(f"{c} long" for c in names)).repartition(parts, "word")
+    entries = blocks.select("block", "payload", "words").mapInArrow(_vocabulary_rows(kinds), "word string, block long, code int, " + ", ".join(f"{c} long" for c in names)).repartition(parts, "word")
     together = Window.partitionBy("word")
     summed = entries.select("word", "block", "code", *(F.sum(c).over(together).alias(c) for c in names), (F.row_number().over(together.orderBy("block", "code")) == 1).alias("head"))
     corpus = saved(summed, "words")
@@ -483,9 +556,12 @@ def lm_scores(docs: DataFrame, model: str, rounds: int = 2, prior: float = 0.01,
 
     many = lambda c: F.sum(c.cast("long"))
     told = heads.agg(*(x.alias(f"{c}_{y}") for c in ("n", *names) for y, x in (("n", F.sum(c)), ("v", many(F.col(c) > 0)), ("once", many(F.col(c) == 1)), ("twice", many(F.col(c) == 2))))).head()
-    docs_in = blocks.agg(*(F.sum(F.element_at("docs", k + 1)) for k in range(classes))).head()
+    found = blocks.select("payload", "words").mapInArrow(_class_docs(kinds), "kind int, docs long").groupBy("kind").agg(F.sum("docs").alias("docs"))
+    docs_in = [0] * classes
+    for r in found.collect():  # a row for each class
+        docs_in[r["kind"]] = r["docs"]
     share = lambda c, d: Share.of(*(int(told[f"{c}_{y}"] or 0) for y in ("n", "v", "once", "twice")), int(d or 0))
-    shares = Shares(share("n", sum(x or 0 for x in docs_in)), [share(c, d) for c, d in zip(names, docs_in, strict=True)])
+    shares = Shares(share("n", sum(docs_in)), [share(c, d) for c, d in zip(names, docs_in, strict=True)])
 
     logp = starting_weights(model)
     usable = np.isfinite(logp)
